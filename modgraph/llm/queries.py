@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modgraph.llm import quality, simhash
+from modgraph.llm import packing, quality, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,23 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_quality": op2_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_pages(warc.write_pages(_table(spark, sf_dir, "pages"))).drop("url")
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op5_urls": op5_urls,
+    "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
+}
+ORACLE_SQL: dict[str, str] = {"op5_urls": urls.duckdb_sql()}
