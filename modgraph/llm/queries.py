@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modgraph.llm import packing, pii, quality, secret_scan, simhash, urls, warc
+from modgraph.llm import decontaminate, html_text, packing, pii, quality, secret_scan, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,19 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +58,9 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_pii": op4_pii,
     "op5_urls": op5_urls,
+    "op6_decontamination": op6_decontamination,
     "op7_secrets": op7_secrets,
+    "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
