@@ -166,5 +166,7 @@ def write_pages(pages: DataFrame, folder: str | None = None, revisit_from: int =
 
 
 def read_pages(archives: DataFrame) -> DataFrame:
-    """The records (RECORD_TYPE) of a table of archives."""
-    return archives.select("path").repartition("path").mapInArrow(read_archives, RECORD_TYPE)
+    """The records (RECORD_TYPE) of a written table of archives; the number of tasks follows that of the archives."""
+    most = 8 * archives.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(archives.count(), most))
+    return archives.select("path").repartition(tasks, "path").mapInArrow(read_archives, RECORD_TYPE)
