@@ -14,8 +14,10 @@ order of equal pieces is free; other columns are not read.
 from __future__ import annotations
 
 import array
+import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,15 +26,21 @@ from modgraph.llm.common import Batches, Mapper, join_checked, materialize, text
 
 CAPACITY, SEPARATOR, SALTS = 2048, 0, 64
 PIECE_TYPE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-CACHED_WORDS = 250_000
+CACHED_WORDS = 450_000
+#: A character that is a token of its own between spaces.
+MARK = "\x01"
+STEM = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)")
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes, with a bounded cache of words.
+    """Ids of texts as little-endian 32-bit bytes, with a bounded cache of words.
 
-    The tokenizer drops white space and no token spans it, so the ids of a text are those of its words in turn.
+    The tokenizer drops white space and no token spans it, so the ids of a text are those of its words in turn. It also
+    starts anew between a Latin letter and the ASCII sign that follows, so a word that ends in signs is looked up as a
+    stem and an ending. Words and stems that are new go to the tokenizer many at a time, parted by a control character
+    that stands alone. Case is folded beforehand unless a special token could be meant.
     """
 
     def __init__(self, path: str):
@@ -41,25 +49,52 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
-    def __call__(self, text: bytes | None) -> bytes:
-        words = text.split() if text else []
+    def texts(self, texts: list[bytes | None]) -> list[bytes]:
+        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         if len(self.new) > CACHED_WORDS:
             self.old, self.new = self.new, {}
+        unseen = set().union(*words).difference(self.new) if words else set()
+        self.learn(unseen)
+        get = self.new.__getitem__
+        return [b"".join(map(get, w)) for w in words]
+
+    def learn(self, words: set[bytes]) -> None:
         new, old = self.new, self.old
-        missing = []
-        for w in set(words).difference(new):
-            ids = old.get(w)
-            if ids is None:
-                missing.append(w)
-            else:
+        whole, parted = set(), []
+        for w in words:
+            if (ids := old.get(w)) is not None:
                 new[w] = ids
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                new[w] = array.array("I", e.ids).tobytes()
-        return b"".join(map(new.__getitem__, words))
+            elif (m := STEM.fullmatch(w)) and b"<|" not in w:
+                parted.append((w, m[1], m[2]))
+                for part in m.groups():
+                    if part not in new:
+                        whole.add(part)
+            else:
+                whole.add(w)
+        for w in whole.intersection(old):
+            new[w] = old[w]
+        whole.difference_update(new)
+        mark = MARK.encode()
+        plain = [w for w in whole if mark not in w and b"<|" not in w]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self._encode(f" {MARK} ".join([w.decode() for w in part])), "<u4")
+            ends = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
+            if len(ends) != len(part) - 1:
+                ids_of = [np.array(self._encode(w.decode()), "<u4").tobytes() for w in part]
+            else:
+                raw, cuts = ids.tobytes(), (4 * ends).tolist()
+                ids_of = [raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
+            new.update(zip(part, ids_of))
+        for w in whole.difference(new):
+            new[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
+        for w, stem, ending in parted:
+            new[w] = new[stem] + new[ending]
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 def encoder(path: str | None) -> Encoder:
@@ -77,12 +112,14 @@ def cut_pieces(path: str | None, capacity: int) -> Mapper:
         encode, end = encoder(path), array.array("I", [SEPARATOR]).tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                ids = encode(text) + end
-                for at in range(0, len(ids), 4 * capacity):
-                    part = ids[at : at + 4 * capacity]
-                    for column, x in zip(out, (doc, at // (4 * capacity), at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(x)
+            for first in range(0, batch.num_rows, 256):
+                rows = batch.slice(first, 256)
+                for doc, ids in zip(rows.column(0).to_pylist(), encode.texts(text_bytes(rows.column(1)))):
+                    ids += end
+                    for at in range(0, len(ids), 4 * capacity):
+                        part = ids[at : at + 4 * capacity]
+                        for column, x in zip(out, (doc, at // (4 * capacity), at // 4, len(part) // 4, zlib.crc32(part))):
+                            column.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
