@@ -14,6 +14,7 @@ order of equal pieces is free; other columns are not read.
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
 
@@ -26,10 +27,14 @@ from modgraph.llm.common import Batches, Mapper, join_checked, materialize, text
 
 CAPACITY, SEPARATOR, SALTS = 2048, 0, 64
 PIECE_TYPE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-CACHED_WORDS = 450_000
-#: A character that is a token of its own between spaces.
-MARK = "\x01"
-STEM = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)")
+CACHED_WORDS = 800_000
+#: Latin letters, then perhaps ASCII signs.
+WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-/:-@\[-`{-~]*+)")
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Byte-level vocabularies write the bytes that Latin-1 has no printable sign for as the letters from 256 on.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
+#: The byte 1 in such a vocabulary; between spaces it is a token of its own and parts words.
+MARK = chr(BYTE_LETTERS[1])
 
 _encoders: dict[str, Encoder] = {}
 
@@ -39,62 +44,89 @@ class Encoder:
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of its words in turn. It also
     starts anew between a Latin letter and the ASCII sign that follows, so a word that ends in signs is looked up as a
-    stem and an ending. Words and stems that are new go to the tokenizer many at a time, parted by a control character
-    that stands alone. Case is folded beforehand unless a special token could be meant.
+    stem and an ending. New stems of Latin letters need no normalization but lower case, so they go many at a time to
+    the tokenizer's merges alone. Case is folded beforehand unless a special token could be meant. A tokenizer of
+    another build gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        folds = [n.get("type") for n in (told["normalizer"] or {}).get("normalizers", [])]
+        self.by_words = "Lowercase" in folds and any(s.get("behavior") == "Removed" and s.get("invert") for s in steps)
+        told.update(normalizer=None, pre_tokenizer={"type": "WhitespaceSplit"}, added_tokens=[])
+        self.bare = Tokenizer.from_str(json.dumps(told)) if self.by_words else None
+        self.stems: dict[bytes, bytes] = {}
+        self.wholes: dict[bytes, bytes] = {}
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(self._encode(self.tokenizer, (t or b"").decode()), "<u4").tobytes() for t in texts]
         words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        if len(self.new) > CACHED_WORDS:
-            self.old, self.new = self.new, {}
-        unseen = set().union(*words).difference(self.new) if words else set()
-        self.learn(unseen)
-        get = self.new.__getitem__
+        get = self.ids_of(set().union(*words)).__getitem__
         return [b"".join(map(get, w)) for w in words]
 
-    def learn(self, words: set[bytes]) -> None:
-        new, old = self.new, self.old
-        whole, parted = set(), []
+    def ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of some words, in a table small enough for the processor's cache."""
+        for cache in (self.stems, self.wholes):
+            if len(cache) > CACHED_WORDS:
+                cache.clear()
+        out: dict[bytes, bytes] = {}
+        left = self._known(words, out)
+        if left:
+            stems, wholes = set(), set()
+            for w in left:
+                m = WORD.fullmatch(w)
+                if m and b"<|" not in w:
+                    stems.add(m[1])
+                    if m[2]:
+                        wholes.add(m[2])
+                else:
+                    wholes.add(w)
+            self._learn(list(stems.difference(self.stems)), list(wholes.difference(self.wholes)))
+            self._known(left, out)
+        return out
+
+    def _known(self, words, out: dict[bytes, bytes]) -> list[bytes]:
+        """Fill in the words that the caches have; the others."""
+        stem, whole, left = self.stems.get, self.wholes.get, []
         for w in words:
-            if (ids := old.get(w)) is not None:
-                new[w] = ids
-            elif (m := STEM.fullmatch(w)) and b"<|" not in w:
-                parted.append((w, m[1], m[2]))
-                for part in m.groups():
-                    if part not in new:
-                        whole.add(part)
-            else:
-                whole.add(w)
-        for w in whole.intersection(old):
-            new[w] = old[w]
-        whole.difference_update(new)
-        mark = MARK.encode()
-        plain = [w for w in whole if mark not in w and b"<|" not in w]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self._encode(f" {MARK} ".join([w.decode() for w in part])), "<u4")
-            ends = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
-            if len(ends) != len(part) - 1:
-                ids_of = [np.array(self._encode(w.decode()), "<u4").tobytes() for w in part]
-            else:
-                raw, cuts = ids.tobytes(), (4 * ends).tolist()
-                ids_of = [raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
-            new.update(zip(part, ids_of))
-        for w in whole.difference(new):
-            new[w] = np.array(self._encode(w.decode()), "<u4").tobytes()
-        for w, stem, ending in parted:
-            new[w] = new[stem] + new[ending]
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = stem(w)
+            if ids is None:
+                letters = w.rstrip(SIGNS)
+                if len(letters) < len(w) and (first := stem(letters)) is not None:
+                    rest = whole(w[len(letters) :])
+                    ids = None if rest is None else first + rest
+                else:
+                    ids = whole(w)
+                if ids is None:
+                    left.append(w)
+                    continue
+            out[w] = ids
+        return left
+
+    def _learn(self, stems: list[bytes], wholes: list[bytes]) -> None:
+        mark = self.bare.token_to_id(f"{MARK}</w>")
+        for at in range(0, len(stems), 200):
+            part = stems[at : at + 200]
+            text = b" ".join(part).decode().lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = np.array(self._encode(self.bare, text.replace(" ", f" {MARK} ")), "<u4")
+            cuts = (4 * np.flatnonzero(ids == mark)).tolist()
+            raw = ids.tobytes()
+            parts = [raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
+            self.stems.update(zip(part, parts, strict=True))
+        for at in range(0, len(wholes), 1000):
+            part = wholes[at : at + 1000]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.wholes.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+
+    @staticmethod
+    def _encode(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 def encoder(path: str | None) -> Encoder:
@@ -112,8 +144,8 @@ def cut_pieces(path: str | None, capacity: int) -> Mapper:
         encode, end = encoder(path), array.array("I", [SEPARATOR]).tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for first in range(0, batch.num_rows, 256):
-                rows = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, 1024):
+                rows = batch.slice(first, 1024)
                 for doc, ids in zip(rows.column(0).to_pylist(), encode.texts(text_bytes(rows.column(1)))):
                     ids += end
                     for at in range(0, len(ids), 4 * capacity):
