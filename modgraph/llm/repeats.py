@@ -358,10 +358,7 @@ def remove_repeats(
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     spans = materialize(repeated_spans(docs, length, keep_first, most_contexts))
-    size = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    few = size[0] <= 200_000 and size[1] <= 2_000_000  # some 10 MB at most
-    rows = rows.join(F.broadcast(spans) if few else spans, ["doc_id", "key"], "left")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(spans, ["doc_id", "key"], "left")
     return rows.select("doc_id", F.arrow_udf(apply, REMOVED)("text", "spans").alias("r")).select("doc_id", "r.*")
 
 
