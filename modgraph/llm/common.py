@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +59,19 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def release_memory() -> None:
+    """Give unused memory of a Python worker back to its machine."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def each_text(column: pa.Array, rows: int = 500) -> Iterator[bytes | None]:
+    """The texts of a column one by one, of which Python holds few at a time."""
+    for at in range(0, len(column), rows):
+        yield from text_bytes(column.slice(at, rows))
+
+
 def sha256_of_spans(spans: Column) -> Column:
     return F.sha2(F.array_join(spans, ","), 256)
 

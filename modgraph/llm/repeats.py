@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import Batches, Mapper, materialize, runs, text_bytes
+from modgraph.llm.common import Batches, Mapper, each_text, materialize, runs, text_bytes
 
 LENGTH, GRAM = 400, 48
 BUFFER = 1 << 20
@@ -345,7 +345,7 @@ def remove_repeats(
 
     def apply(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for data, where in zip(text_bytes(text), spans.to_pylist()):
+        for data, where in zip(each_text(text), spans.to_pylist()):
             data, at, parts = data or b"", 0, []
             gone = cover(where, length)
             for a, b in gone:

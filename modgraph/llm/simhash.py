@@ -20,6 +20,7 @@ repeat a doc_id share its component; other columns are not read.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import Batches, Mapper, components, join_checked, materialize, runs, span, text_bytes
+from modgraph.llm.common import Batches, Mapper, components, each_text, join_checked, materialize, runs, span, text_bytes
 
 SEED = 42
 #: Largest radius for tiles by sliced population counts; beyond it too many tiles are neighbours.
@@ -47,40 +48,91 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     return np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(got) - words + 1)
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """The signed 64-bit form of the fingerprint."""
-    h = shingle_hashes(text, words)
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit form of the bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 255):  # sums of 255 bits fit a byte
-        bits = np.unpackbits(h[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), 255):  # sums of 255 bits fit a byte
+        bits = np.unpackbits(hashes[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other bits for the same shingles, by a 64-bit finalizer."""
+    h = hashes ^ (hashes >> np.uint64(30))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h = h ^ (h >> np.uint64(27))
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def fingerprint_udf(words: int):
-    @F.arrow_udf("bigint")
     def udf(text: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, words) for t in text_bytes(text)], pa.int64())
+        return pa.array([fingerprint(t, words) for t in each_text(text)], pa.int64())
+
+    return F.arrow_udf(udf, "bigint")
+
+
+def wide_fingerprint_udf(words: int):
+    """Fingerprints of twice 64 bits."""
+
+    def udf(text: pa.Array) -> pa.Array:
+        first, second = [], []
+        for t in each_text(text):
+            h = shingle_hashes(t, words)
+            first.append(majority(h))
+            second.append(majority(mixed(h)))
+        return pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["fp", "more"])
+
+    return F.arrow_udf(udf, "struct<fp:bigint,more:bigint>")
 
-    return udf
 
+class Tile(NamedTuple):
+    """Fingerprints, what stands for each in links, and perhaps more bits of each."""
 
-def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, size: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between two tiles, or inside one where right is None, compared block by block."""
+    fp: np.ndarray
+    id: np.ndarray
+    more: np.ndarray | None = None
+
+    def part(self, lo: int, hi: int) -> Tile:
+        return Tile(self.fp[lo:hi], self.id[lo:hi], None if self.more is None else self.more[lo:hi])
+
+
+def close_pairs(
+    left: Tile, right: Tile | None, radius: int, wide_radius: int = 0, height: int = 32, width: int = 2048
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between two tiles, or inside one where right is None, in blocks that fit the processor's cache.
+
+    Where tiles have more bits, a pair must also be at most wide_radius bits apart over all of them.
+    """
     found: list[np.ndarray] = []
     waiting = 0
     other = left if right is None else right
-    for i in range(0, len(left), size):
-        a = left[i : i + size]
-        for j in range(i if right is None else 0, len(other), size):
-            b = other[j : j + size]
-            x, y = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
-            if right is None and i == j:
-                x, y = x[x < y], y[x < y]
+    space, bits = np.empty((height, width), np.uint64), np.empty((height, width), np.uint8)
+    for i in range(0, len(left.fp), height):
+        a = left.fp[i : i + height]
+        for j in range(i if right is None else 0, len(other.fp), width):
+            b = other.fp[j : j + width]
+            apart = np.bitwise_xor(a[:, None], b[None, :], out=space[: len(a), : len(b)])
+            count = np.bitwise_count(apart, out=bits[: len(a), : len(b)])
+            if right is not None and count.min() > radius:
+                continue
+            x, y = np.nonzero(count <= radius)
+            if right is None:
+                later = x + i < y + j
+                x, y = x[later], y[later]
+            if left.more is not None and len(x):
+                rest = np.bitwise_count(left.more[x + i] ^ other.more[y + j])
+                near = count[x, y] + rest <= wide_radius
+                x, y = x[near], y[near]
             if len(x):
-                found.append(np.stack([a[x], b[y]]).view(np.int64))
+                found.append(np.stack([left.id[x + i], other.id[y + j]]))
                 waiting += len(x)
-                if waiting > 2_000_000:
+                if waiting > 500_000:
                     found = [np.stack(span(*np.concatenate(found, axis=1)))]
                     waiting = found[0].shape[1]
     if not found:
@@ -88,22 +140,23 @@ def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, size: i
     return span(*np.concatenate(found, axis=1))
 
 
-def compare_tiles(radius: int) -> Mapper:
-    """Over rows (tile, side, fp) sorted by tile: side 0 is at home in the tile, side 1 visits it."""
+def compare_tiles(radius: int, wide_radius: int = 0) -> Mapper:
+    """Over rows (tile, side, fp, id and perhaps more) sorted by tile: side 0 is at home in the tile, side 1 visits it."""
 
     def compare(batches: Batches) -> Batches:
         for table in runs(batches, "tile"):
-            tile = table["tile"].to_numpy()
-            side = table["side"].to_numpy()
-            fp = table["fp"].to_numpy().view(np.uint64)
+            tile, side = table["tile"].to_numpy(), table["side"].to_numpy()
+            more = table["more"].to_numpy().view(np.uint64) if "more" in table.column_names else None
+            rows = Tile(table["fp"].to_numpy().view(np.uint64), table["id"].to_numpy(), more)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]])
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if hi - lo < 2 or side[lo]:  # within a tile the rows at home come first
                     continue
                 mid = lo + int(np.searchsorted(side[lo:hi], 1))
-                parts = [close_pairs(fp[lo:mid], None, radius)] if mid - lo > 1 and tile[lo] >= 0 else []
+                home = rows.part(lo, mid)
+                parts = [close_pairs(home, None, radius, wide_radius)] if mid - lo > 1 and tile[lo] >= 0 else []
                 if mid < hi:
-                    parts.append(close_pairs(fp[lo:mid], fp[mid:hi], radius))
+                    parts.append(close_pairs(home, rows.part(mid, hi), radius, wide_radius))
                 for a, b in parts:
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -130,15 +183,16 @@ def _sliced(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
         fps = fps.withColumn("own", own)
         visits = [F.xxhash64(*(d + F.lit(m) for d, m in zip(digits, s))).bitwiseAND(F.lit(2**63 - 1)) for s in ahead]
         fps = fps.withColumn("own", F.col("own").bitwiseAND(F.lit(2**63 - 1)))
+    own = [c for c in fps.columns if c != "own"]
     return fps.select(
-        "fp",
+        *own,
         F.explode(
             F.array(
                 F.struct(F.col("own").alias("tile"), F.lit(0).alias("side")),
                 *(F.struct(v.alias("tile"), F.lit(1).alias("side")) for v in visits),
             )
         ).alias("t"),
-    ).select("t.tile", "t.side", "fp")
+    ).select("t.tile", "t.side", *own)
 
 
 def _counted(fps: DataFrame, radius: int, rows: int, tile_rows: int) -> DataFrame:
@@ -159,27 +213,27 @@ def _counted(fps: DataFrame, radius: int, rows: int, tile_rows: int) -> DataFram
     part = F.create_map(*(F.lit(x) for n, m in parts.items() for x in (n, m)))
     n = F.bit_count("fp")
     return (
-        fps.select("fp", n.alias("n"), F.pmod(F.xxhash64("fp"), part[n]).cast("int").alias("s"))
+        fps.select(*fps.columns, n.alias("n"), F.pmod(F.xxhash64("fp"), part[n]).cast("int").alias("s"))
         .join(F.broadcast(plan), ["n", "s"])
-        .select("tile", "side", "fp")
+        .select("tile", "side", *fps.columns)
     )
 
 
-def fingerprint_links(fps: DataFrame, radius: int, tile_rows: int = 32_768) -> DataFrame:
-    """Spanning links (a, b) of distinct fingerprints (column fp, long) at most radius bits apart."""
+def fingerprint_links(fps: DataFrame, radius: int, wide_radius: int = 0, tile_rows: int = 32_768) -> DataFrame:
+    """Spanning links (a, b) of ids of fingerprints (fp, id and perhaps more, long) at most radius bits apart."""
     rows = fps.count()
     if radius <= SLICED_RADIUS:
         dealt = _sliced(fps, radius, 4 if rows < 50_000_000 else 8 if rows < 5_000_000_000 else 16)
     else:
         dealt = _counted(fps, radius, rows, tile_rows)
-    return dealt.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(compare_tiles(radius), EDGE_TYPE)
+    return dealt.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(compare_tiles(radius, wide_radius), EDGE_TYPE)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over fingerprints at most radius bits apart."""
     prints = materialize(docs.select("doc_id", fingerprint_udf(words)("text").alias("fp")))
     first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(fingerprint_links(first.select("fp"), radius))
+    roots = components(fingerprint_links(first.select("fp", F.col("fp").alias("id")), radius))
     rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -197,13 +251,12 @@ def verify_tiles(similarity: float) -> Mapper:
         for table in runs(batches, "tile"):
             tile, side = table["tile"].to_numpy(), table["side"].to_numpy()
             rep = table["rep"].to_numpy()
-            sets = [np.frombuffer(x, np.int64) for x in table["hashes"].to_pylist()]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if hi - lo < 2:
                     continue
-                a, b = similar(sets[lo:hi], mid - lo, similarity)
+                sets = [np.frombuffer(x, np.int64) for x in table["hashes"].slice(lo, hi - lo).to_pylist()]
+                a, b = similar(sets, int(np.searchsorted(side[lo:hi], 1)), similarity)
                 if len(a):
                     x, y = span(rep[lo + a], rep[lo + b])
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
@@ -233,40 +286,52 @@ def similar(sets: list[np.ndarray], home: int, similarity: float) -> tuple[np.nd
     return np.concatenate(a or [np.empty(0, int)]), np.concatenate(b or [np.empty(0, int)])
 
 
-def _shingle_sets(words: int):
-    @F.arrow_udf("binary")
-    def udf(text: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in text_bytes(text)], pa.binary())
+def shingle_sets(words: int) -> Mapper:
+    """Over rows (rep, root, size, text): (rep, root, size, hashes), few rows at a time; texts without words are left out."""
 
-    return udf
+    def sets(batches: Batches) -> Batches:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [np.unique(shingle_hashes(t, words)).tobytes() for t in text_bytes(part.column("text"))]
+                kept = pa.array([bool(x) for x in found], pa.bool_())
+                out = pa.RecordBatch.from_arrays(
+                    [part.column("rep"), part.column("root"), part.column("size"), pa.array(found, pa.binary())], ["rep", "root", "size", "hashes"]
+                )
+                yield out.filter(kept)
+
+    return sets
 
 
 def near_copies(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 13, tile_rows: int = 1024
+    docs: DataFrame,
+    words: int = 5,
+    similarity: float = 0.8,
+    radius: int = 13,
+    wide_radius: int = 24,
+    tile_rows: int = 1024,
 ) -> DataFrame:
     """(doc_id, group_id): groups over texts whose sets of ``words``-word shingles have Jaccard >= similarity.
 
-    Candidates are fingerprints of 3-word shingles within ``radius`` bits, by tiled exact comparison; their components
-    are then verified exactly, in tiles of bounded size where a component is large. Texts that are equal count once.
-    A text without words groups with equal texts only.
+    Candidates are fingerprints of 3-word shingles by tiled exact comparison: at most ``radius`` of 64 bits apart and at
+    most ``wide_radius`` of 128, which leaves chance no candidates even among billions of texts. Pairs at the threshold
+    are some 15 +- 3 of 128 bits apart. Components of candidates are then verified exactly, in tiles of bounded size
+    where a component is large. Texts that are equal count once; a text without words groups with equal texts only.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    prints = materialize(docs.select("doc_id", fingerprint_udf(3)("text").alias("fp"), F.xxhash64(text).alias("key")))
-    texts = materialize(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("rep")))
-    fps = materialize(texts.groupBy("fp").agg(F.count("*").alias("n")))
-    roots = components(fingerprint_links(fps.select("fp"), radius))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted)
-    sizes = rooted.groupBy("root").agg(F.sum("n").alias("size")).where("size > 1")
-    some = materialize(rooted.join(sizes, "root").select("fp", "root", "size"))
-    members = materialize(texts.join(some, "fp").select(F.col("rep").alias("doc_id"), "root", "size"))
-    sets = join_checked(docs.select("doc_id", "text"), members, "doc_id", "inner").select(
-        F.col("doc_id").alias("rep"), "root", "size", _shingle_sets(words)("text").alias("hashes")
-    )
-    sets = materialize(sets.where("length(hashes) > 0").withColumn("m", F.ceil(F.col("size") / tile_rows)).drop("size"))
-    s = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("m"))
+    prints = docs.select("doc_id", wide_fingerprint_udf(3)("text").alias("p"), F.xxhash64(text).alias("key"))
+    prints = materialize(prints.select("doc_id", "p.fp", "p.more", "key"))
+    texts = materialize(prints.groupBy("fp", "more", "key").agg(F.min("doc_id").alias("id")))
+    roots = materialize(components(fingerprint_links(texts.select("fp", "id", "more"), radius, wide_radius)))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    members = materialize(roots.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "size"))
+    held = join_checked(docs.select("doc_id", "text"), members, "doc_id", "inner")
+    held = held.select(F.col("doc_id").alias("rep"), "root", "size", "text")
+    sets = materialize(held.mapInArrow(shingle_sets(words), "rep bigint, root bigint, size bigint, hashes binary"))
+    m = F.ceil(F.col("size") / tile_rows)
+    s = F.pmod(F.xxhash64("rep", F.lit(7)), m)
     pairs = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1),
+        F.sequence(F.lit(0).cast("bigint"), m - 1),
         lambda t: F.struct(
             F.xxhash64("root", F.least(t, s), F.greatest(t, s)).alias("tile"), (t < s).cast("int").alias("side")
         ),
@@ -274,5 +339,5 @@ def near_copies(
     dealt = sets.select("rep", "hashes", F.explode(pairs).alias("p")).select("p.tile", "p.side", "rep", "hashes")
     links = dealt.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(verify_tiles(similarity), EDGE_TYPE)
     groups = components(links)
-    found = texts.join(groups, texts.rep == groups.node, "left").select("fp", "key", F.coalesce("root", "rep").alias("group_id"))
-    return prints.join(materialize(found), ["fp", "key"], "left").select("doc_id", "group_id")
+    found = texts.join(groups, texts.id == groups.node, "left").select("fp", "more", "key", F.coalesce("root", "id").alias("group_id"))
+    return prints.join(materialize(found), ["fp", "more", "key"], "left").select("doc_id", "group_id")

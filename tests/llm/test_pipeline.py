@@ -8,7 +8,7 @@ import corpus_pipeline
 from modgraph.llm import quality, simhash
 from tests.llm.test_decontaminate import brute as brute_items
 from tests.llm.test_pii import brute_base
-from tests.llm.test_simhash import brute_fingerprint
+from tests.llm.test_simhash import brute_fingerprint, candidates, wide_prints
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -48,6 +48,7 @@ def brute(docs, labels, items, policy):
             kept.append(d)
     sets = [set(simhash.shingle_hashes(d[1].encode(), 5).tolist()) for d in kept]
     prints = [brute_fingerprint(d[1]) for d in kept]
+    wide = wide_prints([d[1] for d in kept])
     root = list(range(len(kept)))
 
     def find(x):
@@ -57,7 +58,7 @@ def brute(docs, labels, items, policy):
 
     for i in range(len(kept)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= 13:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and candidates(prints, wide, i, j):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     kept = [d for i, d in enumerate(kept) if find(i) == i]
