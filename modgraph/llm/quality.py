@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import materialize, text_bytes
+from modgraph.llm.common import each_text, materialize
 
 COUNTS = (
     "n_words",
@@ -80,12 +80,13 @@ def count_text(text: bytes | None) -> tuple[int, ...]:
 
 
 def _count_column(text: pa.Array) -> pa.Array:
-    rows = [count_text(t) for t in text_bytes(text)]
+    rows = [count_text(t) for t in each_text(text)]
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(COUNTS))], list(COUNTS))
 
 
 def text_counts(text: str) -> Column:
-    return F.arrow_udf(_count_column, COUNTS_TYPE)(text)
+    """The counts of a text; marked so that the optimizer does not evaluate them once more for a filter on them."""
+    return F.arrow_udf(_count_column, COUNTS_TYPE).asNondeterministic()(text)
 
 
 def base_failed(c: str = "") -> Column:
