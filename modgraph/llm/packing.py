@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import Batches, Mapper, join_checked, materialize, text_bytes
+from modgraph.llm.common import Batches, Mapper, join_checked, materialize, release_memory, text_bytes
 
 CAPACITY, SEPARATOR, SALTS = 2048, 0, 64
 PIECE_TYPE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 #: Latin letters, then perhaps ASCII signs.
 WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-/:-@\[-`{-~]*+)")
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -63,6 +63,11 @@ class Encoder:
         self.stems: dict[bytes, bytes] = {}
         self.wholes: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        self.stems.clear()
+        self.wholes.clear()
+        release_memory()
+
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.by_words:
             return [np.array(self._encode(self.tokenizer, (t or b"").decode()), "<u4").tobytes() for t in texts]
@@ -144,8 +149,8 @@ def cut_pieces(path: str | None, capacity: int) -> Mapper:
         encode, end = encoder(path), array.array("I", [SEPARATOR]).tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for first in range(0, batch.num_rows, 1024):
-                rows = batch.slice(first, 1024)
+            for first in range(0, batch.num_rows, 512):
+                rows = batch.slice(first, 512)
                 for doc, ids in zip(rows.column(0).to_pylist(), encode.texts(text_bytes(rows.column(1)))):
                     ids += end
                     for at in range(0, len(ids), 4 * capacity):
@@ -156,6 +161,7 @@ def cut_pieces(path: str | None, capacity: int) -> Mapper:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
+        encode.forget()  # the worker may go on to other stages, which need the memory
 
     return cut
 
