@@ -15,6 +15,7 @@ from modgraph.operators import graph, resolve, rules
 from modgraph.sources.rust.crate import KINDS, Crate, Module, Target
 
 MODULES = "path string, file string, inline string, visibility string, target_kind string, target_name string"
+REFERENCE_TYPE = "source string, prefix string, levels int, segments array<string>, suffix string, suffix_text string, glob boolean"
 REFERENCE = ["source", "prefix", "levels", "segments", "suffix", "suffix_text", "glob"]
 
 
@@ -96,7 +97,8 @@ class Analyzer:
         refs = self._internal(raw, kids)
         if expand:
             refs = resolve.expand_groups(refs)
-            refs = refs.withColumns({"suffix": F.when(F.col("glob"), "glob").otherwise("none"), "suffix_text": F.when(F.col("glob"), "*").otherwise("")})
+            kept = F.when(F.col("glob"), "glob").when(F.col("group") != "", "group").otherwise("none")
+            refs = refs.withColumns({"suffix": kept, "suffix_text": F.when(F.col("glob"), "*").otherwise(F.col("group"))})
         else:
             refs = refs.withColumn("glob", F.col("suffix") == "glob")
         refs = resolve.normalise_bare(refs.select(REFERENCE), kids).distinct()
@@ -137,7 +139,7 @@ class Analyzer:
         straight = rows.where(holds).select("source", "prefix", "levels", "segments", "suffix", "suffix_text", "leaves")
         via = rows.where((kind == "token") & ~holds & F.col("via_prefix").isNotNull())
         via = via.where((F.col("via_prefix") != "super") | (F.size(P.segments(F.col("source"))) >= F.col("via_levels")))
-        leaf = F.array(F.struct(F.col("via_segments").alias("segments"), F.lit(False).alias("glob")))
+        leaf = F.array(F.struct(F.col("via_segments").alias("segments"), F.lit(False).alias("glob"), F.lit("").alias("group")))
         via = via.select("source", F.col("via_prefix").alias("prefix"), F.col("via_levels").alias("levels"), F.col("via_segments").alias("segments"), "suffix", "suffix_text", leaf.alias("leaves"))
         rows = straight.unionByName(via)
         at = P.segments(F.col("source"))
@@ -147,18 +149,21 @@ class Analyzer:
         rows = rows.withColumn("_start", start).withColumns(
             {
                 "segments": F.concat("_start", "segments"),
-                "leaves": F.transform("leaves", lambda x: F.struct(F.concat("_start", x["segments"]).alias("segments"), x["glob"].alias("glob"))),
+                "leaves": F.transform("leaves", lambda x: F.struct(F.concat("_start", x["segments"]).alias("segments"), x["glob"].alias("glob"), x["group"].alias("group"))),
                 "prefix": F.when(absolute, "crate").otherwise(F.col("prefix")),
                 "levels": F.when(absolute, 0).otherwise(F.col("levels")),
             }
         )
         return rows.drop("_start")
 
+    def _all_places(self) -> DataFrame:
+        """(module, file, inline) of all targets, tests included."""
+        modules = [m for t in self.crate.targets for m in (self.crate.file_tree(t, True) if t.kind == "test" else self.crate.tree(t.root_name, True, t))]
+        return self.module_table(modules).select(F.col("path").alias("module"), "file", "inline").distinct()
+
     def items(self) -> DataFrame:
         """(module, name, scope): what each module of any target holds and from where it is visible."""
-        modules = [m for t in self.crate.targets for m in (self.crate.file_tree(t, True) if t.kind == "test" else self.crate.tree(t.root_name, True, t))]
-        table = F.broadcast(self.module_table(modules).select(F.col("path").alias("module"), "file", "inline").distinct())
-        rows = self.crate.parsed.where("row = 'item'").join(table, ["file", "inline"])
+        rows = self.crate.parsed.where("row = 'item'").join(F.broadcast(self._all_places()), ["file", "inline"])
         names, above = F.split("vis_path", "::"), P.parent(F.col("module"))
         rest = F.slice(names, 2, F.size(names))
         below = lambda p: F.concat_ws("::", F.when(p != "", p), F.when(F.size(rest) > 0, P.joined(rest)))
@@ -169,7 +174,7 @@ class Analyzer:
 
     def _resolved(self, refs: DataFrame) -> DataFrame:
         items = self.items()
-        known = items.select(F.col("module").alias("path")).distinct()
+        known = self._all_places().select(F.col("module").alias("path")).distinct()
         own = (F.col("prefix") == "none") & F.col("glob") & (F.get("segments", F.lit(0)) == self.crate.package)
         plain = resolve.resolve_globs(refs.where(~own), items, known)
         named = refs.where(own).withColumns({"segments": F.slice("segments", 2, F.size("segments")), "prefix": F.lit("crate")})
@@ -218,9 +223,9 @@ class Analyzer:
         """The references of a module, or of all below it, that lead to a target module."""
         modules = self.list_all_modules(tests)
         table = self.module_table(modules).select("path").distinct()
-        refs = self.references(source, recursive, tests, expand=True)
         if target != "lib" and all(m.path != target for m in modules):
-            return refs.limit(0)
+            return self.spark.createDataFrame([], REFERENCE_TYPE)
+        refs = self.references(source, recursive, tests, expand=True)
         found = resolve.targets(refs, table, self._package(modules)).where(F.col("target") == target)
         return found.select(refs.columns).withColumn("source", F.when(F.col("source") == "", source).otherwise(F.col("source")))
 

@@ -75,6 +75,7 @@ def resolve_globs(refs: DataFrame, items: DataFrame, modules: DataFrame) -> Data
 
 
 def expand_groups(refs: DataFrame) -> DataFrame:
-    """References with ``leaves`` (array of (segments, glob)) as one row per leaf: segments and glob replace them."""
-    rest = [c for c in refs.columns if c not in ("leaves", "segments", "glob")]
-    return refs.select(*rest, F.explode("leaves").alias("_leaf")).select(*rest, "_leaf.segments", "_leaf.glob")
+    """References with ``leaves`` (array of structs, segments and glob among them) as one row per leaf, with its fields."""
+    fields = refs.select(F.explode("leaves").alias("x")).select("x.*").columns
+    rest = [c for c in refs.columns if c not in ("leaves", *fields)]
+    return refs.select(*rest, F.explode("leaves").alias("_leaf")).select(*rest, "_leaf.*")

@@ -159,14 +159,15 @@ def listing(modules: list[Module], root: str, form: str, source: bool, visibilit
 
 
 def table(head: list[str], rows: list[list[str]]) -> str:
-    """A table with ASCII borders, a double line under the head and a line under each row."""
+    """A table with ASCII borders, a double line under the head and a line between rows."""
     widths = [max(map(len, column)) for column in zip(head, *rows)]
-    bar = lambda sign: "+" + "+".join(sign * (w + 2) for w in widths) + "+"
+    dashes = ["-" * (w + 2) for w in widths]
     row = lambda cells: "|" + "|".join(f" {c:<{w}} " for c, w in zip(cells, widths)) + "|"
-    out = [bar("-"), row(head), bar("=")]
-    for r in rows:
-        out += [row(r), bar("-")]
-    return lines(out)
+    edge = "+" + "+".join(dashes) + "+"
+    out = [edge, row(head), "+" + "=" * (len(edge) - 2) + "+"]
+    for n, r in enumerate(rows):
+        out += ["|" + "+".join(dashes) + "|"] * bool(n) + [row(r)]
+    return lines([*out, edge])
 
 
 # ---- violations

@@ -29,7 +29,8 @@ class Reference:
     segments: list[str]
     suffix: str = "none"
     suffix_text: str = ""
-    leaves: list[tuple[list[str], bool]] = field(default_factory=list)
+    #: what a declaration stands for, item by item: names, whether a glob, and the group that a glob in a group keeps
+    leaves: list[tuple[list[str], bool, str]] = field(default_factory=list)
     #: for tokens whose first name is imported: where the import leads
     via: tuple[str, int, list[str]] | None = None
 
@@ -253,18 +254,18 @@ class _Body:
         add = self.scope.references.append
         if tree[0] == "name":
             self.imported(tree[1], prefix, levels, [*names, tree[1]])
-            add(Reference("use", prefix, levels, [*names, tree[1]], leaves=[([*names, tree[1]], False)]))
+            add(Reference("use", prefix, levels, [*names, tree[1]], leaves=[([*names, tree[1]], False, "")]))
         elif tree[0] == "as":
             self.imported(tree[2], prefix, levels, [*names, tree[1]])
-            add(Reference("use", prefix, levels, [*names, tree[1]], "alias", tree[2], [([*names, tree[1]], False)]))
+            add(Reference("use", prefix, levels, [*names, tree[1]], "alias", tree[2], [([*names, tree[1]], False, "")]))
         elif tree[0] == "glob":
-            add(Reference("use", prefix, levels, names, "glob", "*", [(names, True)]))
+            add(Reference("use", prefix, levels, names, "glob", "*", [(names, True, "")]))
         else:
             for item in tree[1]:
                 if item[0] in ("name", "as"):
                     self.imported(item[-1], prefix, levels, [*names, item[1]])
-            text = "{" + ", ".join(map(_rendered, tree[1])) + "}"
-            leaves = [leaf for item in tree[1] for leaf in _leaves(item, names)]
+            text = _braces(tree[1])
+            leaves = [leaf for item in tree[1] for leaf in _leaves(item, names, text)]
             add(Reference("use", prefix, levels, names, "group", text, leaves))
 
     def imported(self, name: str, prefix: str, levels: int, names: list[str]) -> None:
@@ -299,7 +300,7 @@ class _Body:
             p, n, start = self.scope.imports[names[0]]
             via = (p, n, [*start, *names[1:]])
         if rest:
-            self.scope.references.append(Reference("token", prefix, levels, rest, leaves=[(rest, False)], via=via))
+            self.scope.references.append(Reference("token", prefix, levels, rest, leaves=[(rest, False, "")], via=via))
 
     def code(self, tokens: list, item: str = "") -> None:
         """Paths, macros, attributes and nested imports of an item or a body."""
@@ -370,7 +371,7 @@ class _Body:
     def add(self, kind: str, names: list[str]) -> None:
         prefix, levels, rest = keyword_prefix(names)
         if rest:
-            self.scope.references.append(Reference(kind, prefix, levels, rest, leaves=[(rest, False)]))
+            self.scope.references.append(Reference(kind, prefix, levels, rest, leaves=[(rest, False, "")]))
 
 
 # ---- use trees: ("path", name, tree), ("name", n), ("as", n, alias), ("glob",), ("group", [trees])
@@ -433,14 +434,18 @@ def _rendered(tree) -> str:
     return f"{path}::{{{', '.join(map(_rendered, inner))}}}"
 
 
-def _leaves(tree, names: list[str]) -> list[tuple[list[str], bool]]:
-    """The references that an item of a group stands for: (names, glob)."""
+def _braces(trees: list) -> str:
+    return "{" + ", ".join(map(_rendered, trees)) + "}"
+
+
+def _leaves(tree, names: list[str], group: str) -> list[tuple[list[str], bool, str]]:
+    """The references that an item of a group stands for; group: the group as text."""
     more, last = _chain(tree)
     path = [*names, *more]
     if last[0] == "group":
-        return [leaf for t in last[1] for leaf in _leaves(t, path)]
+        return [leaf for t in last[1] for leaf in _leaves(t, path, _braces(last[1]))]
     if last[0] == "glob":
-        return [(path, True)]
+        return [(path, False, "{*}" if more else group)]
     if last[1] == "self" and not more:
-        return [(path, False)]
-    return [([*path, last[1]], False)]
+        return [(path, False, "")]
+    return [([*path, last[1]], False, "")]

@@ -47,7 +47,8 @@ def test_use(text, want):
 
 def test_leaves_of_groups():
     r = parse_file("use crate::a::{self, B as C, d::{E, f::*, self}, g::self};")[0].references[0]
-    assert r.leaves == [(["a"], False), (["a", "B"], False), (["a", "d", "E"], False), (["a", "d", "f"], True), (["a", "d"], False), (["a", "g", "self"], False)]
+    assert r.leaves == [(["a"], False, ""), (["a", "B"], False, ""), (["a", "d", "E"], False, ""), (["a", "d", "f"], False, "{*}"), (["a", "d"], False, ""), (["a", "g", "self"], False, "")]
+    assert parse_file("use crate::{a::{B, *}};")[0].references[0].leaves[1] == (["a"], False, "{B, *}")
 
 
 def test_paths_in_code():
@@ -187,7 +188,7 @@ def test_graph(crate):
 def test_explain(crate):
     assert texts(crate.explain("model", "util::text")) == ["crate::util::text", "crate::util::text::JOIN", "crate::util::text::trim"]
     assert texts(crate.explain("engine", "model", recursive=True)) == ["crate::model::*", "crate::model::Row"]
-    assert texts(crate.explain("model", "unknown")) == []
+    assert texts(crate.explain("model", "unknown")) == [] == texts(crate.explain("unknown", "unknown"))
     assert texts(crate.explain("util", "lib")) == ["crate::missing::Thing"]
 
 
