@@ -131,10 +131,10 @@ def propose(tuning: dict[tuple[str, str, int, int], int], risk: float) -> dict[s
         for rule, ladder in LADDERS.items():
             count = [[tuning.get((stratum, rule, q, s), 0) for s in range(len(ladder) + 1)] for q in (0, 1)]
             good = sum(count[1])
-            for step in range(len(ladder), 0, -1):
+            for step in range(1, len(ladder) + 1):  # whoever exceeds so many cutoffs exceeds the strictest of them
                 lost, caught = sum(count[1][step:]), sum(count[0][step:])
                 if good and lost <= good * risk / (2 * len(LADDERS)) and caught > lost:
-                    found.append((-caught, lost, rule, ladder[step - 1]))
+                    found.append((-caught, lost, rule, ladder[-step]))
                     break
         out[stratum] = [(rule, cut) for _, _, rule, cut in sorted(found)]
     return out

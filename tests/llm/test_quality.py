@@ -66,6 +66,16 @@ def test_certified_rules_reject_junk_and_keep_good(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
 
 
+def test_the_strictest_safe_cutoff_is_proposed():
+    ladder = quality.LADDERS["symbol_rate"]
+    # junk exceeds the two strictest cutoffs, good documents none
+    seen = {("s", "symbol_rate", 0, 2): 30, ("s", "symbol_rate", 1, 0): 900}
+    assert quality.propose(seen, 0.05)["s"] == [("symbol_rate", ladder[-1])]
+    # a tenth of the good ones exceed the strictest
+    seen |= {("s", "symbol_rate", 1, 1): 100}
+    assert quality.propose(seen, 0.05)["s"] == [("symbol_rate", ladder[-2])]
+
+
 def test_false_rejection_stays_limited_on_fresh_data():
     """Over many draws in which no cutoff is safe, a policy is certified in at most delta of them."""
     rng = random.Random(2)
