@@ -40,6 +40,71 @@ def fan_out(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.count_distinct("target").alias("targets"))
 
 
+#: Graphs of at most so many edges (a few MB of names) are walked on the driver; a job per round would cost far more.
+LOCAL_EDGES = 100_000
+
+
+def _local_edges(edges: DataFrame, most: int) -> list[tuple[str, str]] | None:
+    """The distinct edges, if they are at most so many."""
+    if most <= 0:
+        return None
+    pairs = edges.select("source", "target").where("source <> target").distinct().limit(most + 1).collect()
+    return [(r[0], r[1]) for r in pairs] if len(pairs) <= most else None
+
+
+def _local_components(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(path, component) as in ``strong_components``: nodes by the end of a walk, then walks against the edges in reverse."""
+    ahead: dict[str, list[str]] = {}
+    back: dict[str, list[str]] = {}
+    for a, b in pairs:
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+
+    def walk(start: str, ways: dict[str, list[str]], seen: set[str]) -> list[str]:
+        """What is newly reached from a start, each after all that is reached through it."""
+        ended, open_ways = [], [(start, iter(ways.get(start, ())))]
+        seen.add(start)
+        while open_ways:
+            node, rest = open_ways[-1]
+            nxt = next((n for n in rest if n not in seen), None)
+            if nxt is None:
+                ended.append(node)
+                open_ways.pop()
+            else:
+                seen.add(nxt)
+                open_ways.append((nxt, iter(ways.get(nxt, ()))))
+        return ended
+
+    seen: set[str] = set()
+    ended = [n for start in sorted({*ahead, *back}) if start not in seen for n in walk(start, ahead, seen)]
+    seen, out = set(), []
+    for start in reversed(ended):
+        if start not in seen:
+            part = walk(start, back, seen)
+            out += [(n, min(part)) for n in part if len(part) > 1]
+    return out
+
+
+def _local_paths(pairs: list[tuple[str, str]], source: str, target: str) -> list[list[str]]:
+    """All paths of fewest edges: distances to the target first, then only steps that come nearer."""
+    ahead: dict[str, list[str]] = {}
+    back: dict[str, list[str]] = {}
+    for a, b in pairs:
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    far, layer = {target: 0}, [target]
+    while layer and source not in far:
+        reached = {p for n in layer for p in back.get(n, ()) if p not in far}
+        far |= dict.fromkeys(reached, far[layer[0]] + 1)
+        layer = sorted(reached)
+    if source not in far:
+        return []
+    paths = [[source]]
+    for left in range(far[source] - 1, -1, -1):
+        paths = [[*p, n] for p in paths for n in ahead[p[-1]] if far.get(n) == left]
+    return paths
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges left when ends without both ways in and out have gone, again and again."""
     edges = materialize(edges.select("source", "target").where("source <> target").distinct())
@@ -54,7 +119,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(path, component) of modules in strongly connected components of two or more; component is the least path.
 
     Trimmed edges are coloured: the least name spreads forward along edges until nothing changes, then from each
@@ -62,6 +127,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     rest starts again. Every round is a join and an aggregation over the edges that are left; each is written to shared
     storage, and only counts reach the driver.
     """
+    pairs = _local_edges(edges, local_edges)
+    if pairs is not None:
+        return edges.sparkSession.createDataFrame(_local_components(pairs), "path string, component string")
     left, found = _trimmed(edges), None
     while left.count():
         nodes = left.select(F.explode(F.array("source", "target")).alias("path")).distinct()
@@ -98,9 +166,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(cycle_id, path): components numbered from 1 by their least module."""
-    members = materialize(strong_components(edges))
+    members = strong_components(edges, local_edges)
     firsts = members.select("component").distinct()
     numbered = firsts.selectExpr("component", "row_number() over (order by component) as cycle_id")
     return members.join(numbered, "component").select("cycle_id", "path")
@@ -113,7 +181,7 @@ def cycle_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(a, "source").join(b, ["cycle_id", "target"]).select("cycle_id", "source", "target", "apis")
 
 
-def shortest_paths(edges: DataFrame, source: str, target: str) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str, target: str, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(path): every path of fewest edges, as an array; just the module itself from a module to itself.
 
     Levels spread forward until the target is met; the paths are then put together backward over the edges between
@@ -123,6 +191,9 @@ def shortest_paths(edges: DataFrame, source: str, target: str) -> DataFrame:
     one = lambda name: spark.createDataFrame([(name, 0)], "path string, level int")
     if source == target:
         return one(source).select(F.array("path").alias("path"))
+    few = _local_edges(edges, local_edges)
+    if few is not None:
+        return spark.createDataFrame([(p,) for p in _local_paths(few, source, target)], "path array<string>")
     pairs = materialize(edges.select("source", "target").where("source <> target").distinct())
     seen, frontier, level = one(source), one(source), 0
     while True:

@@ -92,7 +92,7 @@ def orphans_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(materialize(_edges(spark, sf_dir)))
+    return graph.cycles(_edges(spark, sf_dir))
 
 
 def cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def _flat_cycles(rows: DataFrame) -> DataFrame:
 
 
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.shortest_paths(materialize(_edges(spark, sf_dir)), *PATH_ENDS)
+    found = graph.shortest_paths(_edges(spark, sf_dir), *PATH_ENDS)
     return found.select(F.array_join("path", " -> ").alias("path"), (F.size("path") - 1).alias("length"))
 
 

@@ -57,13 +57,13 @@ def test_orphans_include_roots_and_lone_modules(spark):
     assert sorted(r.path for r in got.collect()) == ["alone", "lib"]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_cycles_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(0, 0), (1, 0), (2, 0), *((n, 100) for n in range(8))])
+def test_cycles_match_brute_force(spark, seed, local):
     rng = random.Random(seed)
     n = rng.choice([4, 9, 14])
     pairs = sorted({(f"m{rng.randrange(n)}", f"m{rng.randrange(n)}") for _ in range(int(n * 1.4))})
     found = {}
-    for r in graph.cycles(edges(spark, *pairs)).collect():
+    for r in graph.cycles(edges(spark, *pairs), local).collect():
         found.setdefault(r.cycle_id, []).append(r.path)
     assert [sorted(found[k]) for k in sorted(found)] == components([p for p in pairs if p[0] != p[1]])
 
@@ -74,16 +74,16 @@ def test_a_cycle_with_a_tail(spark):
     assert sorted(r.path for r in members.collect()) == ["alpha", "beta", "gamma"]
     assert sorted((r.source, r.target, r.apis) for r in graph.cycle_edges(e, members).collect()) == [("alpha", "beta", ["B"]), ("beta", "gamma", ["G"]), ("gamma", "alpha", ["A"])]
     assert graph.cycles(edges(spark, ("a", "b"), ("b", "c"))).count() == 0
-    assert graph.cycles(edges(spark)).count() == 0
+    assert graph.cycles(edges(spark)).count() == 0 and graph.cycles(edges(spark), 0).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_shortest_paths_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(0, 0), (1, 0), *((n, 100) for n in range(6))])
+def test_shortest_paths_match_brute_force(spark, seed, local):
     rng = random.Random(seed)
     pairs = sorted({(f"m{rng.randrange(8)}", f"m{rng.randrange(8)}") for _ in range(16)})
     e = edges(spark, *pairs)
     for target in ("m1", "m5"):
-        got = sorted(r.path for r in graph.shortest_paths(e, "m0", target).collect())
+        got = sorted(r.path for r in graph.shortest_paths(e, "m0", target, local).collect())
         assert got == paths([p for p in pairs if p[0] != p[1]], "m0", target)
 
 
