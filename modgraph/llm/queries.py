@@ -69,4 +69,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op5_urls": urls.duckdb_sql(), "op7_secrets": secret_scan.duckdb_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_urls": urls.duckdb_sql(),
+    "op7_secrets": secret_scan.duckdb_sql(),
+    "op10_warc": warc.duckdb_sql(),
+}

@@ -170,3 +170,12 @@ def read_pages(archives: DataFrame) -> DataFrame:
     most = 8 * archives.sparkSession.sparkContext.defaultParallelism
     tasks = max(1, min(archives.count(), most))
     return archives.select("path").repartition(tasks, "path").mapInArrow(read_archives, RECORD_TYPE)
+
+
+def duckdb_sql(revisit_from: int = 100) -> str:
+    """What a round trip of pages gives, as DuckDB SQL."""
+    return f"""
+with rows as (select page_id, coalesce(html, '') as body, min(page_id) over (partition by coalesce(html, '')) as first from pages),
+told as (select *, strlen(body) as size, strlen(body) >= {revisit_from} and first <> page_id as again from rows)
+select page_id, size as payload_bytes, sha256(body) as payload_digest, case when again then 'revisit' else 'response' end as record_type,
+  case when again then first end as refers_to from told"""
