@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import join_checked, materialize, small_enough
+from modgraph.llm.common import join_checked, materialize
 from modgraph.llm.spans import let
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
@@ -102,10 +102,8 @@ def contained_items(
     items = items.select("item_id", F.size("w").alias("n"), shingles_of("w", SHINGLE).alias("t"))
     items = materialize(items.select("*", simhash_of("t").alias("g")))
     listed = items.select("item_id", "n", F.posexplode("t").alias("ipos", "h"))
-    if not small_enough(items.where(F.size("t") > 0), MOST_SHINGLES // 64):
-        index = listed
-    else:
-        index = F.broadcast(listed)
+    total = items.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()[0]
+    index = F.broadcast(listed) if total <= MOST_SHINGLES else listed
     sizes = [r[0] for r in items.select(F.least("n", F.lit(SHINGLE))).distinct().collect()]
     words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words_of(F.col("text")).alias("w"))
     places = None
