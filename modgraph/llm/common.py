@@ -50,6 +50,19 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
+#: Stands for a missing id inside an operator, where ids meet by equality.
+NO_ID = -(2**63)
+
+
+def known_id(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column), F.lit(NO_ID).cast("bigint"))
+
+
+def given_id(column: str = "doc_id") -> Column:
+    """The id again, null where there was none."""
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Broadcast the narrow right side where its counted rows allow, else a shuffled join that AQE may split."""
     return left.join(F.broadcast(right) if small_enough(right) else right, on, how)

@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import join_checked, materialize
+from modgraph.llm.common import given_id, join_checked, known_id, materialize
 from modgraph.llm.spans import let
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
@@ -98,14 +98,14 @@ def contained_items(
     """
     if radius // blocks >= 64 // blocks:
         raise ValueError("the radius leaves nothing to index")
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(known_id("item_id").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = items.select("item_id", F.size("w").alias("n"), shingles_of("w", SHINGLE).alias("t"))
     items = materialize(items.select("*", simhash_of("t").alias("g")))
     listed = items.select("item_id", "n", F.posexplode("t").alias("ipos", "h"))
     total = items.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()[0]
     index = F.broadcast(listed) if total <= MOST_SHINGLES else listed
     sizes = [r[0] for r in items.select(F.least("n", F.lit(SHINGLE))).distinct().collect()]
-    words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words_of(F.col("text")).alias("w"))
+    words = docs.select(known_id().alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words_of(F.col("text")).alias("w"))
     places = None
     for size in sorted(sizes):
         told = words.select("doc_id", "key", F.posexplode(shingles_of("w", size)).alias("pos", "h"))
@@ -140,9 +140,9 @@ def contained_items(
     found = pairs.select("doc_id", "key", "item_id", F.struct(shared.alias("similarity"), (-F.col("start")).alias("s"), "size", "distance").alias("best"))
     found = found.where(F.col("best.similarity") >= similarity).groupBy("doc_id", "key", "item_id").agg(F.max("best").alias("best"))
     return found.select(
-        "doc_id",
+        given_id().alias("doc_id"),
         "key",
-        "item_id",
+        given_id("item_id").alias("item_id"),
         (-F.col("best.s")).cast("bigint").alias("start_word"),
         F.col("best.size").cast("bigint").alias("n_words"),
         F.col("best.distance").cast("bigint").alias("distance"),
@@ -152,7 +152,7 @@ def contained_items(
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item of the benchmark, with all their columns."""
-    found = contained_items(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    found = contained_items(docs, benchmark).select(known_id().alias("_id"), F.col("key").alias("_key")).distinct()
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = docs.select(row, F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
+    rows = docs.select(row, known_id().alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
     return join_checked(rows, materialize(found), ["_id", "_key"], "left_anti").select("_row.*")

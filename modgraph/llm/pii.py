@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import join_checked, materialize, sha256_of_spans
+from modgraph.llm.common import given_id, join_checked, known_id, materialize, sha256_of_spans
 from modgraph.llm.spans import find_spans, no_spans
 
 #: Fixed values: (kind, a string that every match has, the base expression). Look-behinds and possessive quantifiers
@@ -118,7 +118,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     for kind, _, _ in BASE:
         own = F.col(f"b_{kind}")
         parts += [beside(F.col("text"), kind, own, True), beside(F.col("text"), kind, loose_spans(F.col("text"), kind, own), False)]
-    return rows.select("doc_id", "key", F.concat(*parts).alias("found"))
+    return rows.select(known_id().alias("doc_id"), "key", F.concat(*parts).alias("found"))
 
 
 def discovered(rows: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
@@ -182,7 +182,7 @@ def report(docs: DataFrame) -> DataFrame:
     plain = F.transform(seeds, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     both = F.concat(plain, F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     return rows.select(
-        "doc_id",
+        given_id().alias("doc_id"),
         *(F.size(F.filter("found", _is_seed(k))).cast("bigint").alias(f"n_{k}") for k, _, _ in BASE),
         sha256_of_spans(ordered(plain)).alias("base_sha256"),
         F.array_join(ordered(both), ",").alias("spans"),
@@ -218,7 +218,7 @@ def redact(docs: DataFrame) -> DataFrame:
     more = materialize(more).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_more")
     text = F.col("_text")
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), known_id().alias("_id"), F.coalesce("text", F.lit("")).alias("_text")
     )
     rows = join_checked(rows.withColumn("_key", F.xxhash64("_text")), more, ["_id", "_key"], "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")

@@ -18,7 +18,8 @@ its context.
 Removing later copies keeps the first of each string (by doc_id, then place); removing all takes out every copy.
 
 Defined results: a null text is empty; texts shorter than a window are kept whole; rows that repeat an id and text are
-copies of each other, and where first copies stay such rows stay or go alike; other columns are not read.
+copies of each other, and where first copies stay such rows stay or go alike; rows
+without an id come before all others; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import Batches, Mapper, each_text, materialize, runs, text_bytes
+from modgraph.llm.common import Batches, Mapper, each_text, given_id, known_id, materialize, runs, text_bytes
 
 LENGTH, GRAM = 400, 48
 BUFFER = 1 << 20
@@ -287,7 +288,7 @@ def _resolve_large(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """(doc_id, key, spans): flat starts and ends of runs of windows (their first bytes) that repeat; key is the text's hash."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").where("text is not null")
+    rows = docs.select(known_id().alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
     found = materialize(rows.mapInArrow(find_anchors(length), OCCURRENCE))
     kinds = materialize(
         found.groupBy(*CONTEXT_KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "key")).alias("first"))
@@ -358,8 +359,8 @@ def remove_repeats(
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     spans = materialize(repeated_spans(docs, length, keep_first, most_contexts))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(spans, ["doc_id", "key"], "left")
-    return rows.select("doc_id", F.arrow_udf(apply, REMOVED)("text", "spans").alias("r")).select("doc_id", "r.*")
+    rows = docs.select(known_id().alias("doc_id"), F.xxhash64("text").alias("key"), "text").join(spans, ["doc_id", "key"], "left")
+    return rows.select("doc_id", F.arrow_udf(apply, REMOVED)("text", "spans").alias("r")).select(given_id().alias("doc_id"), "r.*")
 
 
 # ---- the array itself, for one text

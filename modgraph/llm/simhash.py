@@ -14,7 +14,8 @@ A tile sends back its links as a spanning forest, so a group of thousands of nea
 millions; components join the forests. Equal fingerprints count once however many rows have them.
 
 Defined results: a null text and a text without words have the fingerprint zero and link like any other; rows that
-repeat a doc_id share its component; other columns are not read.
+repeat a doc_id share its component; rows without an id have the component of their fingerprint, and are no near copies of
+anything; other columns are not read.
 """
 
 from __future__ import annotations
@@ -319,6 +320,7 @@ def near_copies(
     where a component is large. Texts that are equal count once; a text without words groups with equal texts only.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.where("doc_id is not null")
     prints = docs.select("doc_id", wide_fingerprint_udf(3)("text").alias("p"), F.xxhash64(text).alias("key"))
     prints = materialize(prints.select("doc_id", "p.fp", "p.more", "key"))
     texts = materialize(prints.groupBy("fp", "more", "key").agg(F.min("doc_id").alias("id")))

@@ -8,7 +8,8 @@ The reader goes through an archive from the start with incremental decompression
 content length and verifies block and payload digests; it holds one record at a time.
 
 Defined results: a null html is an empty payload; a null url leaves the target out; control characters in a url are
-percent-encoded; rows that repeat a page_id are records of their own, and none of them is a revisit of itself.
+percent-encoded; rows that repeat a page_id are records of their own, and none of them is a revisit of itself;
+a row without a page_id is a response.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def make_record(page_id: int, url: str | None, payload: bytes, refers_to: int |
     head += [
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
-        f"X-Page: {page_id}",
+        *([] if page_id is None else [f"X-Page: {page_id}"]),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -140,7 +141,8 @@ def read_archives(batches: Batches) -> Batches:
                     headers, http, _ = parse_record(data)
                     size = int(re.search(rb"(?i)^content-length: *(\d+)", http, re.M)[1])
                     refers = headers.get("x-refers-to-page")
-                    rows.append((int(headers["x-page"]), size, headers["warc-payload-digest"].removeprefix("sha256:"), headers["warc-type"], None if refers is None else int(refers), headers.get("warc-target-uri")))
+                    page = headers.get("x-page")
+                    rows.append((None if page is None else int(page), size, headers["warc-payload-digest"].removeprefix("sha256:"), headers["warc-type"], None if refers is None else int(refers), headers.get("warc-target-uri")))
                     if len(rows) == 5000:
                         yield _records(rows)
                         rows = []

@@ -59,7 +59,9 @@ def corpus():
             at = rng.randint(0, len(w))
             w[at:at] = [p.upper() + rng.choice(["", ",", "."]) for p in piece]
         docs.append((i, rng.choice([" ", "\n", " - "]).join(w), "en", "k", 1))
-    docs += [(200, None, None, None, None), (201, "", "", "", 0), (202, "Three, word: item!", "", "", 0), (203, "solo", "", "", 0), (204, items[0][1], "", "", 0), (204, items[0][1], "", "", 0), (205, "x " * 500, "", "", 0), (206, " ".join(items[4][1].split()[:-1]), "", "", 0)]
+    docs += [(200, None, None, None, None), (201, "", "", "", 0), (202, "Three, word: item!", "", "", 0), (203, "solo", "", "", 0), (204, items[0][1], "", "", 0), (204, items[0][1], "", "", 0), (205, "x " * 500, "", "", 0), (206, " ".join(items[4][1].split()[:-1]), "", "", 0), (None, items[7][1], "", "", 0), (None, None, None, None, None)]
+    items += [(None, "an item that has no id of its own but ten words")]
+    docs += [(207, "so an item that has no id of its own but ten words", "", "", 0)]
     return docs, items
 
 
@@ -79,7 +81,7 @@ def test_clean_documents_keeps_the_others_whole(spark):
     df = spark.createDataFrame(docs, SCHEMA)
     kept = dc.clean_documents(df, spark.createDataFrame(items, "item_id bigint, text string"))
     assert kept.columns == df.columns
-    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted((d for d in docs if d[0] not in hit), key=str)
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted((d for d in docs if d[0] not in hit or d[1] is None), key=str)
 
 
 @pytest.mark.parametrize(("radius", "blocks"), [(23, 8), (5, 4), (16, 16)])

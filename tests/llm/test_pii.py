@@ -70,7 +70,7 @@ def test_patterns_of_seeds_bring_in_unseen_identifiers(spark):
 
 
 def test_redact_masks_spans_and_keeps_other_columns(spark):
-    rows = [(1, "mail a@b.c or +1 (743) 555-3824!", "en", 33, 9, "x"), (2, None, None, None, None, None), (3, "plain é", "fr", 7, 1, "y"), (3, "plain é", "fr", 7, 1, "y")]
+    rows = [(1, "mail a@b.c or +1 (743) 555-3824!", "en", 33, 9, "x"), (2, None, None, None, None, None), (3, "plain é", "fr", 7, 1, "y"), (3, "plain é", "fr", 7, 1, "y"), (None, "no id", None, 5, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = sorted((tuple(r) for r in pii.redact(docs).collect()), key=str)
     assert got == sorted([(1, "mail [EMAIL] or [PHONE]!", "en", 24, 9, "x"), *rows[1:]], key=str)

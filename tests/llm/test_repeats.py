@@ -12,7 +12,7 @@ SCHEMA = "doc_id bigint, text string, lang string, spans int"
 def brute(rows, length, keep_first):
     seen = {}
     data = [(r[0], (r[1] or "").encode()) for r in rows]
-    order = sorted(range(len(rows)), key=lambda i: (data[i][0], data[i][1]))
+    order = sorted(range(len(rows)), key=lambda i: (data[i][0] is not None, data[i][0] or 0, data[i][1]))
     for i in order:
         text = data[i][1]
         for at in range(len(text) - length + 1):
@@ -27,7 +27,7 @@ def brute(rows, length, keep_first):
         kept = bytes(b for i, b in enumerate(text) if i not in g)
         spans = sum(i in g and i - 1 not in g for i in range(len(text)))
         out.append((doc, len(text), len(g), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def corpus(seed, n=60):
@@ -43,11 +43,12 @@ def corpus(seed, n=60):
         rows.append((i, " ".join(parts), "en", 1))
     rows += [(100, None, None, None), (101, "", "", 0), (102, "x" * 300, "", 0), (103, "ab" * 200, "", 0), (104, rows[3][1], "", 0), (105, rows[3][1], "", 0)]
     rows += [(106, make(40), "", 0)] * 2
+    rows += [(None, rows[5][1], "", 0), (None, None, None, None)]
     return rows
 
 
 def result(df):
-    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()), key=str)
 
 
 @pytest.mark.parametrize(("length", "seed"), [(60, 1), (100, 2), (400, 3)])

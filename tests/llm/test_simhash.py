@@ -122,6 +122,12 @@ def test_near_copies_match_brute_force(spark):
         assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (None, "other words"), (None, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.simhash_components(docs).collect() if r.doc_id) == [(1, 1)]
+    assert [tuple(r) for r in simhash.near_copies(docs).collect()] == [(1, 1)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
     assert simhash.simhash_components(docs).count() == 0

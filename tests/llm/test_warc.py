@@ -14,8 +14,8 @@ def brute(rows):
     out = []
     for page, _, html, _ in rows:
         data = (html or "").encode()
-        same = min(p for p, _, h, _ in rows if (h or "").encode() == data)
-        revisit = len(data) >= 100 and same != page
+        same = min((p for p, _, h, _ in rows if p is not None and (h or "").encode() == data), default=None)
+        revisit = len(data) >= 100 and page is not None and same != page
         out.append((page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", same if revisit else None))
     return sorted(out, key=str)
 
@@ -24,7 +24,7 @@ def pages():
     rng = random.Random(2)
     bodies = ["<p>" + "é" * rng.randint(30, 80) + "</p>" for _ in range(12)] + [None, "", "short", "\r\n\r\n" * 40, "x" * 2_000_000, "y" * 99, "z" * 100]
     rows = [(i * 7 % 90, f"http://a.example/{i}", rng.choice(bodies), 1) for i in range(90)]
-    rows += [(500, None, "x" * 2_000_000, 1), (501, "http://a b\r\nc", "q" * 150, 1), (502, "u", "q" * 150, 1), (502, "u", "q" * 150, 1), (501, "again", "q" * 150, 1)]
+    rows += [(500, None, "x" * 2_000_000, 1), (501, "http://a b\r\nc", "q" * 150, 1), (502, "u", "q" * 150, 1), (502, "u", "q" * 150, 1), (501, "again", "q" * 150, 1), (None, None, None, None), (None, "u", "q" * 150, 1)]
     return rows
 
 
