@@ -20,6 +20,7 @@ anything; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import NamedTuple
 
@@ -304,6 +305,125 @@ def shingle_sets(words: int) -> Mapper:
     return sets
 
 
+# ---- the pairs that fingerprints do not bring together, by shared rare shingles
+
+#: Texts whose shingles tell which are common, and the most common shingles told; both only set an order.
+ORDER_TEXTS = 20_000
+ORDER_SHINGLES = 200_000
+
+
+def least_shared(size: int, similarity: float) -> int:
+    """Shingles that a set of a size shares with any other of the similarity, at least."""
+    return max(1, math.ceil(similarity * size - 1e-9))
+
+
+def sampled_shingles(words: int) -> Mapper:
+    """Over rows (doc_id, part, text): the distinct shingles of each text and its part."""
+
+    def shingles(batches: Batches) -> Batches:
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            for at, text in enumerate(each_text(batch.column("text"))):
+                found = np.unique(shingle_hashes(text, words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), parts[at]))], ["token", "part"])
+
+    return shingles
+
+
+def rare_shingles(words: int, similarity: float, common: np.ndarray, often: np.ndarray) -> Mapper:
+    """Over rows (doc_id, part, text): the first shingles of each text in one order of all shingles, rare ones first.
+
+    Texts of the similarity share one of them, whatever the order is: of n shingles, all but the least shared number
+    less one are given. ``place`` is the shingle's place in the order.
+    """
+
+    def rare(batches: Batches) -> Batches:
+        for batch in batches:
+            ids, parts = batch.column("doc_id").to_numpy(), batch.column("part").to_numpy()
+            for at in range(0, batch.num_rows, 500):
+                rows = []
+                for i, text in enumerate(text_bytes(batch.column("text").slice(at, 500)), at):
+                    h = np.unique(shingle_hashes(text, words)).view(np.int64)
+                    if not len(h):
+                        continue
+                    first = len(h) - least_shared(len(h), similarity) + 1
+                    if len(common):
+                        where = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                        h = h[np.lexsort((h, np.where(common[where] == h, often[where], 0)))]
+                    n = np.full(first, len(h), np.int32)
+                    rows.append((h[:first], np.full(first, ids[i]), np.full(first, parts[i]), n, np.arange(first, dtype=np.int32)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["token", "id", "part", "n", "place"])
+
+    return rare
+
+
+def meeting_pairs(similarity: float) -> Mapper:
+    """Over rows of rare_shingles sorted by token: pairs of different parts that may have the similarity.
+
+    From the first shingle that a pair shares on, the shorter rest of the two bounds what the pair shares; pairs that
+    fall short at every shingle they meet at are none.
+    """
+    share = similarity / (1 + similarity)
+
+    def pairs(batches: Batches) -> Batches:
+        for table in runs(batches, "token"):
+            token, part = table["token"].to_numpy(), table["part"].to_numpy()
+            ids, n = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64)
+            rest = n - table["place"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
+            mixed_parts = np.add.reduceat(np.concatenate([[0], np.diff(part) != 0]).astype(np.int64), cuts[:-1])
+            mixed_parts -= np.concatenate([[0], part[cuts[1:-1]] != part[cuts[1:-1] - 1]])
+            found = []
+            for r in np.flatnonzero(mixed_parts).tolist():
+                lo, hi = int(cuts[r]), int(cuts[r + 1])
+                for i in range(lo, hi - 1):
+                    j = slice(i + 1, hi)
+                    least = share * (n[i] + n[j]) - 1e-9
+                    hit = i + 1 + np.flatnonzero((part[j] != part[i]) & (np.minimum(rest[j], rest[i]) >= least))
+                    if len(hit):
+                        found.append((np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])))
+            if found:
+                a, b = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return pairs
+
+
+def verify_pairs(similarity: float) -> Mapper:
+    """Over rows (a, b, x, y) with the sets of a and b: the pairs with Jaccard >= similarity."""
+
+    def verify(batches: Batches) -> Batches:
+        for batch in batches:
+            keep = []
+            for at in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[at].as_buffer(), np.int64) for c in "xy")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return verify
+
+
+def other_links(texts: DataFrame, rows: int, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of all texts (doc_id, part, text) of different parts with Jaccard >= similarity, without fingerprints."""
+    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(1, rows // ORDER_TEXTS))) == 0)
+    seen = some.mapInArrow(sampled_shingles(words), "token bigint, part bigint").groupBy("token")
+    often = seen.agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low < high")
+    often = often.orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES)
+    told = often.orderBy("token").toArrow()
+    common, n = told["token"].to_numpy(), told["n"].to_numpy()
+    rare = texts.mapInArrow(rare_shingles(words, similarity, common, n), "token bigint, id bigint, part bigint, n int, place int")
+    dealt = rare.repartition("token").sortWithinPartitions("token", "part")
+    pairs = materialize(dealt.mapInArrow(meeting_pairs(similarity), EDGE_TYPE).distinct())
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    held = join_checked(texts, ends, "doc_id", "inner").select(F.col("doc_id").alias("rep"), F.col("part").alias("root"), F.lit(1).cast("bigint").alias("size"), "text")
+    sets = held.mapInArrow(shingle_sets(words), "rep bigint, root bigint, size bigint, hashes binary")
+    sets = materialize(sets.select("rep", "hashes"))
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(verify_pairs(similarity), EDGE_TYPE))
+
+
 def near_copies(
     docs: DataFrame,
     words: int = 5,
@@ -315,9 +435,10 @@ def near_copies(
     """(doc_id, group_id): groups over texts whose sets of ``words``-word shingles have Jaccard >= similarity.
 
     Candidates are fingerprints of 3-word shingles by tiled exact comparison: at most ``radius`` of 64 bits apart and at
-    most ``wide_radius`` of 128, which leaves chance no candidates even among billions of texts. Pairs at the threshold
-    are some 15 +- 3 of 128 bits apart. Components of candidates are then verified exactly, in tiles of bounded size
-    where a component is large. Texts that are equal count once; a text without words groups with equal texts only.
+    most ``wide_radius`` of 128, which leaves chance no candidates even among billions of texts. Components of
+    candidates are then verified exactly, in tiles of bounded size where a component is large. Pairs whose fingerprints
+    are further apart are found by other_links between the groups so made, so none is missed. Texts that are equal count
+    once; a text without words groups with equal texts only.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.where("doc_id is not null")
@@ -340,6 +461,11 @@ def near_copies(
     )
     dealt = sets.select("rep", "hashes", F.explode(pairs).alias("p")).select("p.tile", "p.side", "rep", "hashes")
     links = dealt.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(verify_tiles(similarity), EDGE_TYPE)
-    groups = components(links)
+    links = materialize(links)
+    near = materialize(components(links))
+    named = join_checked(texts.select(F.col("id").alias("node")), near, "node", "left")
+    reps = materialize(named.select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("part")))
+    rest = other_links(join_checked(docs.select("doc_id", "text"), reps, "doc_id", "inner"), reps.count(), words, similarity)
+    groups = components(links.unionByName(rest))
     found = texts.join(groups, texts.id == groups.node, "left").select("fp", "more", "key", F.coalesce("root", "id").alias("group_id"))
     return prints.join(materialize(found), ["fp", "more", "key"], "left").select("doc_id", "group_id")
