@@ -1,8 +1,7 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage reads what the one before it wrote, works on all of it and keeps the columns of documents; the last gives
-the places of all pieces in the packed sequences. Rows that repeat a doc_id are judged by their texts where the stage
-is about a text, and share the verdict of the id where it is about documents (near copies).
+the places of all pieces in the packed sequences. Rows that repeat a doc_id are judged by their texts.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from modgraph.llm import decontaminate, packing, pii, quality, simhash
-from modgraph.llm.common import join_checked, materialize
+from modgraph.llm.common import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    groups = materialize(simhash.near_copies(docs))
-    gone = materialize(groups.where("group_id <> doc_id").select("doc_id").distinct())
-    return join_checked(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """The document with the smallest doc_id of each group of near copies, rows without an id last."""
+    return simhash.without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import Batches, Mapper, components, each_text, join_checked, materialize, runs, span, text_bytes
+from modgraph.llm.common import NO_ID, Batches, Mapper, components, each_text, join_checked, known_id, materialize, runs, span, text_bytes
 
 SEED = 42
 #: Largest radius for tiles by sliced population counts; beyond it too many tiles are neighbours.
@@ -318,7 +318,7 @@ def least_shared(size: int, similarity: float) -> int:
 
 
 def sampled_shingles(words: int) -> Mapper:
-    """Over rows (doc_id, part, text): the distinct shingles of each text and its part."""
+    """Over rows (node, part, text): the distinct shingles of each text and its part."""
 
     def shingles(batches: Batches) -> Batches:
         for batch in batches:
@@ -331,7 +331,7 @@ def sampled_shingles(words: int) -> Mapper:
 
 
 def rare_shingles(words: int, similarity: float, common: np.ndarray, often: np.ndarray) -> Mapper:
-    """Over rows (doc_id, part, text): the first shingles of each text in one order of all shingles, rare ones first.
+    """Over rows (node, part, text): the first shingles of each text in one order of all shingles, rare ones first.
 
     Texts of the similarity share one of them, whatever the order is: of n shingles, all but the least shared number
     less one are given. ``place`` is the shingle's place in the order.
@@ -339,7 +339,7 @@ def rare_shingles(words: int, similarity: float, common: np.ndarray, often: np.n
 
     def rare(batches: Batches) -> Batches:
         for batch in batches:
-            ids, parts = batch.column("doc_id").to_numpy(), batch.column("part").to_numpy()
+            ids, parts = batch.column("node").to_numpy(), batch.column("part").to_numpy()
             for at in range(0, batch.num_rows, 500):
                 rows = []
                 for i, text in enumerate(text_bytes(batch.column("text").slice(at, 500)), at):
@@ -406,8 +406,8 @@ def verify_pairs(similarity: float) -> Mapper:
 
 
 def other_links(texts: DataFrame, rows: int, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of all texts (doc_id, part, text) of different parts with Jaccard >= similarity, without fingerprints."""
-    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(1, rows // ORDER_TEXTS))) == 0)
+    """Links (a, b) of all texts (node, part, text) of different parts with Jaccard >= similarity, without fingerprints."""
+    some = texts.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(max(1, rows // ORDER_TEXTS))) == 0)
     seen = some.mapInArrow(sampled_shingles(words), "token bigint, part bigint").groupBy("token")
     often = seen.agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low < high")
     often = often.orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES)
@@ -416,40 +416,47 @@ def other_links(texts: DataFrame, rows: int, words: int, similarity: float) -> D
     rare = texts.mapInArrow(rare_shingles(words, similarity, common, n), "token bigint, id bigint, part bigint, n int, place int")
     dealt = rare.repartition("token").sortWithinPartitions("token", "part")
     pairs = materialize(dealt.mapInArrow(meeting_pairs(similarity), EDGE_TYPE).distinct())
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    held = join_checked(texts, ends, "doc_id", "inner").select(F.col("doc_id").alias("rep"), F.col("part").alias("root"), F.lit(1).cast("bigint").alias("size"), "text")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    held = join_checked(texts, ends, "node", "inner").select(F.col("node").alias("rep"), F.col("part").alias("root"), F.lit(1).cast("bigint").alias("size"), "text")
     sets = held.mapInArrow(shingle_sets(words), "rep bigint, root bigint, size bigint, hashes binary")
     sets = materialize(sets.select("rep", "hashes"))
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(verify_pairs(similarity), EDGE_TYPE))
 
 
-def near_copies(
-    docs: DataFrame,
-    words: int = 5,
-    similarity: float = 0.8,
-    radius: int = 13,
-    wide_radius: int = 24,
-    tile_rows: int = 1024,
-) -> DataFrame:
-    """(doc_id, group_id): groups over texts whose sets of ``words``-word shingles have Jaccard >= similarity.
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of nodes (node, id, key, rows): one row each, also where the same row comes again."""
+    told = docs.select(known_id().alias("id"), text_key().alias("key"), "text")
+    found = join_checked(told, nodes, ["id", "key"], "inner")
+    once = found.where("rows = 1")
+    if nodes.where("rows > 1").isEmpty():
+        return once.drop("id", "key", "rows")
+    return once.unionByName(found.where("rows > 1").dropDuplicates(["node"])).drop("id", "key", "rows")
 
-    Candidates are fingerprints of 3-word shingles by tiled exact comparison: at most ``radius`` of 64 bits apart and at
-    most ``wide_radius`` of 128, which leaves chance no candidates even among billions of texts. Components of
-    candidates are then verified exactly, in tiles of bounded size where a component is large. Pairs whose fingerprints
-    are further apart are found by other_links between the groups so made, so none is missed. Texts that are equal count
-    once; a text without words groups with equal texts only.
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def text_groups(
+    docs: DataFrame, words: int, similarity: float, radius: int, wide_radius: int, tile_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, more, key) of docs, and distinct texts (fp, more, key, node, id, rows, root) with their groups.
+
+    Each distinct text is a node of its own, whatever its ids. Its ``id`` is the smallest it has, a known one where
+    there is one; ``rows`` counts the rows of that id with the text. NO_ID stands for a missing id.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.where("doc_id is not null")
-    prints = docs.select("doc_id", wide_fingerprint_udf(3)("text").alias("p"), F.xxhash64(text).alias("key"))
+    prints = docs.select(known_id().alias("doc_id"), wide_fingerprint_udf(3)(F.coalesce("text", F.lit(""))).alias("p"), text_key().alias("key"))
     prints = materialize(prints.select("doc_id", "p.fp", "p.more", "key"))
-    texts = materialize(prints.groupBy("fp", "more", "key").agg(F.min("doc_id").alias("id")))
-    roots = materialize(components(fingerprint_links(texts.select("fp", "id", "more"), radius, wide_radius)))
+    named = prints.groupBy("fp", "more", "key", "doc_id").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct((F.col("doc_id") == NO_ID).alias("none"), F.col("doc_id").alias("id"), "rows")).alias("first")
+    texts = named.groupBy("fp", "more", "key").agg(least).select("fp", "more", "key", "first.id", "first.rows")
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()))
+    roots = materialize(components(fingerprint_links(texts.select("fp", F.col("node").alias("id"), "more"), radius, wide_radius)))
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    members = materialize(roots.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "size"))
-    held = join_checked(docs.select("doc_id", "text"), members, "doc_id", "inner")
-    held = held.select(F.col("doc_id").alias("rep"), "root", "size", "text")
+    places = texts.select("node", "id", "key", "rows")
+    members = materialize(roots.join(sizes, "root").join(places, "node"))
+    held = texts_of(docs, members).select(F.col("node").alias("rep"), "root", "size", "text")
     sets = materialize(held.mapInArrow(shingle_sets(words), "rep bigint, root bigint, size bigint, hashes binary"))
     m = F.ceil(F.col("size") / tile_rows)
     s = F.pmod(F.xxhash64("rep", F.lit(7)), m)
@@ -463,9 +470,51 @@ def near_copies(
     links = dealt.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(verify_tiles(similarity), EDGE_TYPE)
     links = materialize(links)
     near = materialize(components(links))
-    named = join_checked(texts.select(F.col("id").alias("node")), near, "node", "left")
-    reps = materialize(named.select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("part")))
-    rest = other_links(join_checked(docs.select("doc_id", "text"), reps, "doc_id", "inner"), reps.count(), words, similarity)
-    groups = components(links.unionByName(rest))
-    found = texts.join(groups, texts.id == groups.node, "left").select("fp", "more", "key", F.coalesce("root", "id").alias("group_id"))
-    return prints.join(materialize(found), ["fp", "more", "key"], "left").select("doc_id", "group_id")
+    nodes = materialize(join_checked(places, near, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
+    rest = other_links(texts_of(docs, nodes), nodes.count(), words, similarity)
+    groups = materialize(components(links.unionByName(rest)))
+    return prints, materialize(join_checked(texts, groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
+def near_copies(
+    docs: DataFrame,
+    words: int = 5,
+    similarity: float = 0.8,
+    radius: int = 13,
+    wide_radius: int = 24,
+    tile_rows: int = 1024,
+) -> DataFrame:
+    """(doc_id, group_id): groups over texts whose sets of ``words``-word shingles have Jaccard >= similarity.
+
+    Candidates are fingerprints of 3-word shingles by tiled exact comparison: at most ``radius`` of 64 bits apart and at
+    most ``wide_radius`` of 128, which leaves chance no candidates even among billions of texts. Components of
+    candidates are then verified exactly, in tiles of bounded size where a component is large. Pairs whose fingerprints
+    are further apart are found by other_links between the groups so made, so none is missed. Texts that are equal count
+    once; a text without words groups with equal texts only.
+    """
+    docs = docs.where("doc_id is not null")
+    prints, texts = text_groups(docs, words, similarity, radius, wide_radius, tile_rows)
+    least = texts.groupBy("root").agg(F.min("id").alias("group_id"))
+    found = materialize(texts.join(least, "root").select("fp", "more", "key", "group_id"))
+    return prints.join(found, ["fp", "more", "key"], "left").select("doc_id", "group_id")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 13, wide_radius: int = 24, tile_rows: int = 1024) -> DataFrame:
+    """One row of each group of near_copies: the smallest doc_id, and of it the smallest text key.
+
+    Rows are told by id and text, so texts that share an id are judged apart; a row without an id stays only in a group
+    in which no row has one. Of rows with the same id and text one stays.
+    """
+    prints, texts = text_groups(docs, words, similarity, radius, wide_radius, tile_rows)
+    order = F.struct((F.col("id") == NO_ID).alias("none"), "id", "key", "node")
+    best = texts.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.node").alias("node"))
+    stay = materialize(texts.join(best, "node").select(F.col("id").alias("near_id"), F.col("key").alias("near_key"), "rows"))
+    rows = prints.select(F.col("doc_id").alias("near_id"), F.col("key").alias("near_key")).distinct()
+    gone = materialize(rows.join(stay, ["near_id", "near_key"], "left_anti"))
+    again = stay.where("rows > 1").drop("rows")
+    told = docs.select("*", known_id().alias("near_id"), text_key().alias("near_key"))
+    left = join_checked(told, gone, ["near_id", "near_key"], "left_anti")
+    if not again.isEmpty():
+        more = join_checked(left, again, ["near_id", "near_key"], "left_semi").dropDuplicates(["near_id", "near_key"])
+        left = join_checked(left, again, ["near_id", "near_key"], "left_anti").unionByName(more)
+    return left.select(docs.columns)

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from modgraph.llm import simhash
 
 
@@ -58,5 +59,14 @@ def test_the_order_of_shingles_loses_no_link(spark, monkeypatch):
     want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     for count in (1, 20_000):
         monkeypatch.setattr(simhash, "ORDER_TEXTS", count)
-        got = simhash.other_links(spark.createDataFrame(rows, "doc_id bigint, part bigint, text string"), len(rows), 5, 0.8)
+        got = simhash.other_links(spark.createDataFrame(rows, "node bigint, part bigint, text string"), len(rows), 5, 0.8)
         assert {(r.a, r.b) for r in got.collect()} == want
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(8)
+    x, y, z, u = (" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(4))
+    rows = [(5, x), (5, y), (3, x + " more"), (7, y + " more"), (9, z), (9, z), (None, z + " more"), (None, u), (None, u), (None, u + " more"), (11, None), (11, "")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    kept = [(r.doc_id, (r.text or "").removesuffix(" more")) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(3, x), (5, y), (9, z), (None, u), (11, "")], key=str)
