@@ -224,7 +224,8 @@ def main_text(page: str | None) -> str:
             x = e
             while x and x is not root:
                 x = x.parent
-            inside[e] = x is root and not e.off and kept(e)
+            # of an article nothing goes for its links or its size
+            inside[e] = x is root and not e.off and (root.tag == "article" or kept(e))
         return inside[e]
 
     return " ".join("".join(" " if e is None else t for e, t in parts if e is None or within(e)).split())
