@@ -11,7 +11,7 @@ its context.
    are put into suffix order column by column from the right (the order at a column follows from that at the next one
    by a stable sort of one byte), together with the longest common prefixes of neighbours. In that order the previous and
    the next smaller text positions of a suffix give its longest previous factor: where it reaches ``length``, the window
-   occurs earlier; the same with larger positions says whether it occurs later.
+   occurs earlier. Where all copies go, the common prefix with either neighbour says whether it occurs elsewhere.
 3. Anchors with more kinds of contexts than ``most_contexts`` are resolved without meeting in one task: their windows are
    hashed and counted in groups.
 
