@@ -92,3 +92,30 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", 0)] * 3 + [(None, "a b", 0)], SCHEMA)
     assert packing.pack_documents(docs).count() == 4
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_words_with_special_marks_beside_cached_stems(tokenizer):
+    rng = random.Random(11)
+    parts = ["hello", "Hello", "é", "x1", "<|", "|>", "<", "|", ">", "<|endoftext|>", "<|startoftext|>", "<|endof", "!", "'s", "'", "."]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
+    corpus = [" ".join(rng.sample(words, rng.randint(1, 20))) for _ in range(300)] + ["hello hello<| world", "Hello hello<|endoftext|>"]
+    own = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for at in range(0, len(corpus), 40):  # later texts meet the words that earlier ones left in the cache
+        part = corpus[at : at + 40]
+        for text, got in zip(part, own.texts([t.encode() for t in part])):
+            assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_in_many_groups(spark, tokenizer):
+    rng = random.Random(12)
+    rows = [(i, "a " * rng.choice([3, 5, 5, 5, 7, 31, 40]), 0) for i in range(300)]
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t, _ in rows}
+    pieces = packing.tokenized_pieces(spark.createDataFrame(rows, SCHEMA), capacity=32)
+    used = check(packing.pack(pieces, 32, ranked=10).collect(), want, 32)
+    assert used == check(packing.pack(pieces, 32).collect(), want, 32)
+
+
+def test_plan_is_bounded():
+    rng = random.Random(13)
+    histogram = {n: rng.randint(1, 10**9) for n in range(1, 2048)}
+    assert len(packing.minimum_slack(histogram, 2048)) < 1_100_000
