@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modgraph.errors import ModuleAnalysisFailed, ModuleNotFound, ParseError, RuleConfigError, UndeclaredModule
+from modgraph.errors import CrateInfoError, ModuleAnalysisFailed, ModuleNotFound, RuleConfigError, UndeclaredModule
 from modgraph.functions import paths as P
 from modgraph.operators import graph, resolve, rules
 from modgraph.sources.rust.crate import KINDS, Crate, Module, Target
@@ -28,8 +28,8 @@ class Graph:
 
 
 class Analyzer:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.crate = spark, Crate(spark, root)
+    def __init__(self, spark: SparkSession, root: str | Crate):
+        self.spark, self.crate = spark, root if isinstance(root, Crate) else Crate(spark, root)
 
     # ---- listings
 
@@ -85,7 +85,7 @@ class Analyzer:
         found = self._tree(path, recursive, tests)
         for m in found:
             if m.file in self.crate.errors:
-                raise ModuleAnalysisFailed(m.path, m.file, str(ParseError(m.file, self.crate.errors[m.file])))
+                raise ModuleAnalysisFailed(m.path, m.file, str(self.crate.errors[m.file]))
         whole = found if recursive else self._whole(path, found[0].target, tests)
         children = {(p, c) for m in whole if m.path for p, _, c in [("::" + m.path).rpartition("::")]}
         children = {(p.removeprefix("::"), c) for p, c in children}
@@ -114,7 +114,7 @@ class Analyzer:
         """With tests, a module of the library also knows the library's top modules."""
         try:
             lib = self.crate.tree("lib", True, self._default())
-        except (UndeclaredModule, ParseError):
+        except CrateInfoError:
             return set()
         tops = {("", m.path) for m in lib if m.path and "::" not in m.path}
         return tops if any(m.path == path for m in lib) else set()

@@ -28,6 +28,11 @@ class ModuleAnalysisFailed(AnalysisError):
         super().__init__(f"Error analyzing module '{module_path}' (file '{file}'): {message}")
 
 
+class InvalidCrateRoot(AnalysisError):
+    def __init__(self, path: str, reason: str):
+        super().__init__(f"Invalid crate root: {path} - {reason}")
+
+
 class CrateInfoError(AnalysisError):
     """The crate cannot be read."""
 
@@ -45,6 +50,11 @@ class ParseError(CrateInfoError):
         super().__init__(f"Failed to parse file '{path}': {message}")
 
 
-class FileTooLarge(AnalysisError):
+class PathTraversal(CrateInfoError):
+    def __init__(self):
+        super().__init__("Resolved path escapes crate root")
+
+
+class FileTooLarge(CrateInfoError):
     def __init__(self, path: str, size: int, limit: int):
         super().__init__(f"File '{path}' is too large: {size} bytes (limit: {limit} bytes)")

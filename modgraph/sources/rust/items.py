@@ -53,6 +53,14 @@ def parse_file(text: str, package: str | None = None) -> list[Scope]:
     return scopes
 
 
+def token_paths(text: str) -> list[str]:
+    """Paths of two or more names in a stream of tokens, as a macro's arguments are scanned; LexError if it is none."""
+    body = _Body([], None)
+    body.tokens(token_trees(text))
+    starts = {"none": "", "crate": "crate::", "self": "self::"}
+    return [starts.get(r.prefix, "super::" * r.levels) + "::".join(r.segments) for r in body.scope.references]
+
+
 def is_sign(tokens: list, at: int, text: str) -> bool:
     return 0 <= at < len(tokens) and tokens[at].kind == "p" and tokens[at].text == text
 

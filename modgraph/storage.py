@@ -27,13 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='modgraph-')}"
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/modgraph-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
+    """Write to shared storage and read back: lineage ends, and a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize gave and that nothing will read again."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

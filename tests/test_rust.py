@@ -249,3 +249,30 @@ def test_rendering():
     assert '    "a" -> "b" [color=red, style=bold, penwidth=2.0];' in render.paths([["a", "b"]], edges, "dot")
     m = Module("x", "/r/src/x.rs", (), "", Target("bin", "t", "/r/src/main.rs"))
     assert render.listing([m], "/r", "table", True, False, True).splitlines()[1] == "| Target | Module | File     |"
+
+
+def test_large_files_are_errors(spark, tmp_path, monkeypatch):
+    from modgraph.sources.rust import crate as source
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "Cargo.toml").write_text('[package]\nname = "big"\n')
+    (tmp_path / "src/lib.rs").write_text("pub mod a;\npub mod b;\n")
+    (tmp_path / "src/a.rs").write_text("use crate::b::X;\n")
+    (tmp_path / "src/b.rs").write_text("pub struct X;\n// " + "x" * 200)
+    monkeypatch.setattr(source, "MOST_BYTES", 100)
+    with pytest.raises(CrateInfoError, match=r"b.rs' is too large: 217 bytes \(limit: 100 bytes\)"):
+        Analyzer(spark, str(tmp_path)).list_all_modules()
+    sources = spark.createDataFrame([("/c/src/lib.rs", "mod a;"), ("/c/src/a.rs", "// " + "y" * 100)], "file string, text string")
+    of_table = source.Crate.of_sources(spark, "c", [Target("lib", "c", "/c/src/lib.rs")], sources)
+    with pytest.raises(CrateInfoError, match="too large: 103 bytes"):
+        Analyzer(spark, of_table).list_all_modules()
+
+
+def test_links_out_of_the_crate(spark, tmp_path):
+    (tmp_path / "c/src").mkdir(parents=True)
+    (tmp_path / "out.rs").write_text("pub struct X;\n")
+    (tmp_path / "c/Cargo.toml").write_text('[package]\nname = "c"\n')
+    (tmp_path / "c/src/lib.rs").write_text("pub mod a;\n")
+    (tmp_path / "c/src/a.rs").symlink_to(tmp_path / "out.rs")
+    with pytest.raises(CrateInfoError, match="Resolved path escapes crate root"):
+        Analyzer(spark, str(tmp_path / "c")).list_modules("a")
