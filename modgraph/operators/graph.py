@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modgraph.errors import ModuleNotFound
 from modgraph.functions import paths as P
-from modgraph.storage import materialize
+from modgraph.storage import discard, materialize
 
 
-def edges_of(resolved: DataFrame, depth: int | None = None, apis: bool = True) -> DataFrame:
-    """(source, target, apis) of rows (source, target, api): truncated, without loops and empty ends."""
+def edges_of(resolved: DataFrame, depth: int | None = None, apis: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """(source, target, apis) of rows (source, target, api): truncated, without loops and empty ends.
+
+    With ``by``, columns that tell several graphs in one table apart, a graph each.
+    """
     rows = resolved.select(
-        P.truncated(F.col("source"), depth).alias("source"), P.truncated(F.col("target"), depth).alias("target"), "api"
+        *by, P.truncated(F.col("source"), depth).alias("source"), P.truncated(F.col("target"), depth).alias("target"), "api"
     ).where("source <> target and source <> '' and target <> ''")
     names = F.array_sort(F.collect_set(F.when(F.col("api") != "", F.col("api")))) if apis else F.array().cast("array<string>")
-    return rows.groupBy("source", "target").agg(names.alias("apis"))
+    return rows.groupBy(*by, "source", "target").agg(names.alias("apis"))
 
 
 def merged(graphs: list[DataFrame]) -> DataFrame:
@@ -42,14 +45,18 @@ def fan_out(edges: DataFrame) -> DataFrame:
 
 #: Graphs of at most so many edges (a few MB of names) are walked on the driver; a job per round would cost far more.
 LOCAL_EDGES = 100_000
+#: Shortest paths are put together on the driver if there are at most so many; their number can be exponential.
+LOCAL_PATHS = 10_000
 
 
-def _local_edges(edges: DataFrame, most: int) -> list[tuple[str, str]] | None:
-    """The distinct edges, if they are at most so many."""
-    if most <= 0:
-        return None
-    pairs = edges.select("source", "target").where("source <> target").distinct().limit(most + 1).collect()
-    return [(r[0], r[1]) for r in pairs] if len(pairs) <= most else None
+def _pairs(edges: DataFrame) -> DataFrame:
+    """The distinct edges without loops, written once: they are counted, and then read again and again."""
+    return materialize(edges.select("source", "target").where("source <> target").distinct())
+
+
+def _local_edges(pairs: DataFrame, most: int) -> list[tuple[str, str]] | None:
+    """The edges, if they are at most so many."""
+    return [(r[0], r[1]) for r in pairs.collect()] if pairs.count() <= most else None
 
 
 def _local_components(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -85,8 +92,8 @@ def _local_components(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-def _local_paths(pairs: list[tuple[str, str]], source: str, target: str) -> list[list[str]]:
-    """All paths of fewest edges: distances to the target first, then only steps that come nearer."""
+def _local_paths(pairs: list[tuple[str, str]], source: str, target: str) -> list[list[str]] | None:
+    """All paths of fewest edges: distances to the target first, then only steps that come nearer; None if too many."""
     ahead: dict[str, list[str]] = {}
     back: dict[str, list[str]] = {}
     for a, b in pairs:
@@ -99,6 +106,16 @@ def _local_paths(pairs: list[tuple[str, str]], source: str, target: str) -> list
         layer = sorted(reached)
     if source not in far:
         return []
+    ways = {source: 1}
+    for left in range(far[source] - 1, -1, -1):
+        reached: dict[str, int] = {}
+        for p, n in ways.items():
+            for q in ahead[p]:
+                if far.get(q) == left:
+                    reached[q] = reached.get(q, 0) + n
+        ways = reached
+    if ways[target] > LOCAL_PATHS:
+        return None
     paths = [[source]]
     for left in range(far[source] - 1, -1, -1):
         paths = [[*p, n] for p in paths for n in ahead[p[-1]] if far.get(n) == left]
@@ -107,7 +124,6 @@ def _local_paths(pairs: list[tuple[str, str]], source: str, target: str) -> list
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges left when ends without both ways in and out have gone, again and again."""
-    edges = materialize(edges.select("source", "target").where("source <> target").distinct())
     count = edges.count()
     while count:
         outs = edges.select(F.col("source").alias("target")).distinct()
@@ -127,10 +143,12 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
     rest starts again. Every round is a join and an aggregation over the edges that are left; each is written to shared
     storage, and only counts reach the driver.
     """
-    pairs = _local_edges(edges, local_edges)
+    written = _pairs(edges)
+    pairs = _local_edges(written, local_edges)
     if pairs is not None:
+        discard(written)
         return edges.sparkSession.createDataFrame(_local_components(pairs), "path string, component string")
-    left, found = _trimmed(edges), None
+    left, found = _trimmed(written), None
     while left.count():
         nodes = left.select(F.explode(F.array("source", "target")).alias("path")).distinct()
         colour = materialize(nodes.select("path", F.col("path").alias("colour")))
@@ -160,7 +178,7 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
         gone = seen.select("path")
         left = left.join(gone.select(F.col("path").alias("source")), "source", "left_anti")
         left = left.join(gone.select(F.col("path").alias("target")), "target", "left_anti")
-        left = _trimmed(left)
+        left = _trimmed(materialize(left.select("source", "target")))
     if found is None:
         return edges.select(F.col("source").alias("path"), F.col("target").alias("component")).limit(0)
     return found
@@ -169,9 +187,21 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
 def cycles(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(cycle_id, path): components numbered from 1 by their least module."""
     members = strong_components(edges, local_edges)
-    firsts = members.select("component").distinct()
-    numbered = firsts.selectExpr("component", "row_number() over (order by component) as cycle_id")
-    return members.join(numbered, "component").select("cycle_id", "path")
+    return members.join(numbered(members.select("component").distinct(), "component", "cycle_id"), "component").select("cycle_id", "path")
+
+
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the place of each in the order of a distinct column, from 1.
+
+    Ranges of the column are numbered each by itself; only the ranges' sizes, as many as there are partitions, are added
+    up in one task.
+    """
+    dealt = materialize(rows.repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return dealt.join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_start") + inside).cast("int").alias(name))
 
 
 def cycle_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -191,10 +221,12 @@ def shortest_paths(edges: DataFrame, source: str, target: str, local_edges: int
     one = lambda name: spark.createDataFrame([(name, 0)], "path string, level int")
     if source == target:
         return one(source).select(F.array("path").alias("path"))
-    few = _local_edges(edges, local_edges)
-    if few is not None:
-        return spark.createDataFrame([(p,) for p in _local_paths(few, source, target)], "path array<string>")
-    pairs = materialize(edges.select("source", "target").where("source <> target").distinct())
+    pairs = _pairs(edges)
+    few = _local_edges(pairs, local_edges)
+    found = _local_paths(few, source, target) if few is not None else None
+    if found is not None:
+        discard(pairs)
+        return spark.createDataFrame([(p,) for p in found], "path array<string>")
     seen, frontier, level = one(source), one(source), 0
     while True:
         level += 1

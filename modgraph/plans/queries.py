@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modgraph.functions import paths as P
 from modgraph.operators import graph, resolve, rules
 from modgraph.sources import tables
+from modgraph.sources.rust.items import token_paths
 from modgraph.storage import materialize
 
 RULES = rules.parse_rules(
@@ -36,10 +38,9 @@ PATH_ENDS = ("AFRICA::NATION_20", "AFRICA::NATION_10")
 WHY_ENDS = ("EUROPE::NATION_13", "ASIA::NATION_17")
 
 
-def _edges(spark: SparkSession, sf_dir: str, status: str | None = None, depth: int | None = None) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str, depth: int | None = None) -> DataFrame:
     modules = tables.trade_modules(spark, sf_dir)
-    refs = tables.trade_references(spark, sf_dir, status)
-    return graph.edges_of(resolve.targets(refs, modules), depth)
+    return graph.edges_of(resolve.targets(tables.trade_references(spark, sf_dir), modules), depth)
 
 
 def _flat(edges: DataFrame) -> DataFrame:
@@ -75,7 +76,10 @@ def deps_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deps_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(graph.merged([_edges(spark, sf_dir, s) for s in ("F", "O", "P")]))
+    """The graphs of two overlapping parts of the trade, read at once, as one."""
+    refs = tables.trade_references(spark, sf_dir, parts=True)
+    parts = graph.edges_of(resolve.targets(refs, tables.trade_modules(spark, sf_dir)), by=("part",))
+    return _flat(graph.merged([parts]))
 
 
 def deps_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +99,18 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(_edges(spark, sf_dir))
 
 
+def cycles_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cycles by rounds of joins, as graphs beyond the driver's limit are walked."""
+    return graph.cycles(_edges(spark, sf_dir), local_edges=0)
+
+
+def shortest_paths_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.shortest_paths(_edges(spark, sf_dir), *PATH_ENDS, local_edges=0)
+    return found.select(F.array_join("path", " -> ").alias("path"), (F.size("path") - 1).alias("length"))
+
+
 def cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = materialize(_edges(spark, sf_dir, "F"))
+    edges = materialize(_edges(spark, sf_dir))
     return _flat_cycles(graph.cycle_edges(edges, graph.cycles(edges)))
 
 
@@ -124,6 +138,11 @@ def check_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _violations(rules.layer_violations(edges, tables.trade_modules(spark, sf_dir), RULES))
 
 
+def check_same_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies within a layer of a group that denies them, and no others."""
+    return check_layers(spark, sf_dir).where(F.contains("rule", F.lit("forbids same-layer")))
+
+
 def check_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _violations(rules.deny_violations(_edges(spark, sf_dir), RULES))
 
@@ -155,7 +174,7 @@ def prefix_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = tables.table(spark, sf_dir, "part").where("p_size <= 5")
+    part = tables.table(spark, sf_dir, "part")
     leaf = lambda *names: F.struct(F.array("p_brand", *names).alias("segments"), F.lit(False).alias("glob"))
     whole = F.struct(F.array(F.col("p_brand")).alias("segments"), F.lit(True).alias("glob"))
     refs = part.select("p_partkey", F.array(leaf("p_type"), leaf("p_type", "p_name"), whole).alias("leaves"))
@@ -189,12 +208,22 @@ def bare_child_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "prefix", P.joined(F.col("segments")).alias("reference")).distinct()
 
 
+#: What ``path_tokens`` makes of a text: signs that tokens cannot have part it, sentences become paths.
+TEXT_STEPS = (("[^A-Za-z,. \n]+", ";"), ("[,.][ \n]+", "::"), ("[,.]", ";"))
+
+
+def _token_paths(texts: pa.Array) -> pa.Array:
+    return pa.array([token_paths(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
 def path_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of names in texts: the first words of each document written as one."""
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 3)
-    text = F.concat(F.lit("x = a :: b; "), F.array_join(words, "::"), F.lit(" + y"))
-    found = F.explode(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*)+)"), F.lit(1)))
-    return tables.table(spark, sf_dir, "documents").select("doc_id", found.alias("path"))
+    """Paths that the scan of a macro's tokens finds in whole documents, names before a comma or stop leading on."""
+    text = F.col("text")
+    for old, new in TEXT_STEPS:
+        text = F.regexp_replace(text, old, new)
+    source = F.concat(F.lit("x = a :: b; "), F.coalesce(text, F.lit("")))
+    docs = tables.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(F.arrow_udf(_token_paths, "array<string>")(source)).alias("path"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -210,10 +239,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         orphans,
         orphans_depth1,
         cycles,
+        cycles_distributed,
         cycle_edges,
         shortest_paths,
+        shortest_paths_distributed,
         why_edge,
         check_layers,
+        check_same_layer,
         check_deny,
         check_all,
         layer_members,
@@ -230,8 +262,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # ---- the same in DuckDB SQL
 
 
-def _trade(status: str = "") -> str:
-    where = f" and o_orderstatus = '{status}'" if status else ""
+def _trade(where: str = "") -> str:
+    where = f" and {where}" if where else ""
     return f"""place as (select n_nationkey, r_name || '::' || n_name as path, r_name, n_name from nation join region on n_regionkey = r_regionkey),
 modules as (select path from place),
 told as (select distinct c.path as source, t.path as target, t.r_name as source_region_of_target, s_name || '::' || p_brand as api
@@ -260,11 +292,24 @@ _LAYER_CHECK = """select 'LAYER' as kind, source, target,
   'layer ''' || a.group_name || ''' forbids ' || case when a.idx > b.idx then 'upward' else 'same-layer' end || ' dependency (' || source || ' -> ' || target || ')' as rule, apis
   from edges join member a on a.path = source join member b on b.path = target and a.group_no = b.group_no
   where a.idx > b.idx or (a.idx = b.idx and a.deny_same)"""
+_SAME_LAYER = _LAYER_CHECK.replace("where a.idx > b.idx or (a.idx = b.idx and a.deny_same)", "where a.idx = b.idx and a.deny_same")
 _DENY_CHECK = """select 'DENY' as kind, source, target, rule, apis from edges join (values
   ('deny ASIA::* -> EUROPE::*', 'ASIA', 'EUROPE', true), ('deny * -> AMERICA::NATION_1', '', 'AMERICA::NATION_1', false)) d(rule, f, t, sub)
   on (f = '' or source = f or starts_with(source, f || '::')) and (target = t or (sub and starts_with(target, t || '::')))"""
-_LINKS = """link as (select 'page' || page_id as source, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"/]*)"', 1))) as word from pages),
-known as (select word from link where word <> '' group by word having count(*) >= 3)"""
+_LINKS = """link as (select * from (select 'page' || page_id as source, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) as lang,
+  unnest(list_distinct(regexp_extract_all(html, 'href="/([^"/]*)"', 1))) as word from pages) where word <> '' and lang <> ''),
+known as (select lang, word, count(*) as n from link group by all)"""
+
+_SHORTEST = f"""{TRADE},
+dist(path, d) as (select '{PATH_ENDS[0]}', 0 union select target, d + 1 from dist join edges on source = path where d < 25),
+near as (select path, min(d) as d from dist group by path),
+walk(path, head, d) as (select '{PATH_ENDS[1]}', '{PATH_ENDS[1]}', d from near where path = '{PATH_ENDS[1]}'
+  union all select e.source || ' -> ' || w.path, e.source, w.d - 1 from walk w join edges e on e.target = w.head join near n on n.path = e.source and n.d = w.d - 1)
+select path, len(string_split(path, ' -> ')) - 1 as length from walk where d = 0"""
+
+_TEXT = "text"
+for _old, _new in TEXT_STEPS:
+    _TEXT = f"regexp_replace({_TEXT}, '{_old}', '{_new}', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
     "module_list": """with place as (select n_nationkey, r_name, n_name from nation join region on n_regionkey = r_regionkey)
@@ -277,23 +322,23 @@ where contains(r_name || '::' || n_name, 'A::N')""",
     "deps_edges_apis": f"{TRADE} select source, target, apis from edges",
     "deps_depth1": f"""{TRADE} select distinct string_split(source, '::')[1] as source, string_split(target, '::')[1] as target from told
 where string_split(source, '::')[1] <> string_split(target, '::')[1]""",
-    "deps_merged": f"{TRADE} select source, target, apis from edges",
+    "deps_merged": "with "
+    + ", ".join(f"part{i} as (with {_trade(w)} select source, target, unnest(string_split(apis, ',')) as api from edges)" for i, w in enumerate(tables.PARTS.values()))
+    + " select source, target, string_agg(distinct api, ',' order by api) as apis from (select * from part0 union all select * from part1) group by all",
     "deps_fanout": f"{TRADE} select source, count(distinct target) as targets from edges group by source",
     "orphans": f"{TRADE} select path from modules where path not in (select target from edges)",
     "orphans_depth1": f"""{TRADE} select distinct string_split(path, '::')[1] as path from modules where string_split(path, '::')[1] not in
 (select string_split(target, '::')[1] from told where string_split(source, '::')[1] <> string_split(target, '::')[1])""",
     "cycles": f"{TRADE}, {_CLOSURE} select cycle_id, path from cycle",
-    "cycle_edges": f"""with recursive {_trade("F")}, {_CLOSURE}
+    "cycles_distributed": f"{TRADE}, {_CLOSURE} select cycle_id, path from cycle",
+    "cycle_edges": f"""{TRADE}, {_CLOSURE}
 select a.cycle_id, source, target, apis from edges join cycle a on a.path = source join cycle b on b.path = target and a.cycle_id = b.cycle_id""",
-    "shortest_paths": f"""{TRADE},
-dist(path, d) as (select '{PATH_ENDS[0]}', 0 union select target, d + 1 from dist join edges on source = path where d < 25),
-near as (select path, min(d) as d from dist group by path),
-walk(path, head, d) as (select '{PATH_ENDS[1]}', '{PATH_ENDS[1]}', d from near where path = '{PATH_ENDS[1]}'
-  union all select e.source || ' -> ' || w.path, e.source, w.d - 1 from walk w join edges e on e.target = w.head join near n on n.path = e.source and n.d = w.d - 1)
-select path, len(string_split(path, ' -> ')) - 1 as length from walk where d = 0""",
+    "shortest_paths": _SHORTEST,
+    "shortest_paths_distributed": _SHORTEST,
     "why_edge": f"""{TRADE} select distinct source, 'crate::' || target || '::' || api as reference from told
 where source = '{WHY_ENDS[0]}' and target = '{WHY_ENDS[1]}'""",
     "check_layers": f"{TRADE}, {_MEMBER} {_LAYER_CHECK}",
+    "check_same_layer": f"{TRADE}, {_MEMBER} {_SAME_LAYER}",
     "check_deny": f"{TRADE} {_DENY_CHECK}",
     "check_all": f"{TRADE}, {_MEMBER} {_DENY_CHECK} union all {_LAYER_CHECK}",
     "layer_members": f"{TRADE}, {_MEMBER} select path, group_name, idx from member",
@@ -301,10 +346,11 @@ where source = '{WHY_ENDS[0]}' and target = '{WHY_ENDS[1]}'""",
     "unknown_rule_modules": f"""{TRADE} select module, rule from (values ('ASIA', 'ASIA', true, 'layers ''g'''), ('ATLANTIS', 'ATLANTIS', true, 'layers ''g'''),
   ('ASIA::*', 'ASIA', true, 'deny ASIA::* -> EUROPE'), ('EUROPE', 'EUROPE', false, 'deny ASIA::* -> EUROPE'), ('MU::*', 'MU', true, 'deny * -> MU::*')) p(module, base, sub, rule)
 where not exists (select 1 from modules where path = base or (sub and starts_with(path, base || '::')))""",
-    "prefix_resolve": f"""with {_LINKS} select source, case when word in (select word from known) then word else 'lib' end as target,
-  case when word in (select word from known) then 'index' else word || '::index' end as api from link where word <> ''""",
-    "group_expand": """select p_partkey, unnest([p_brand || '::' || p_type, p_brand || '::' || p_type || '::' || p_name, p_brand || '::*']) as reference
-from part where p_size <= 5""",
+    "prefix_resolve": f"""with {_LINKS} select source,
+  case when n >= 10 then lang || '::' || word || '::index' when n >= 3 then lang || '::' || word when lang <> 'en' then lang else 'lib' end as target,
+  case when n >= 10 then 'title' when n >= 3 then 'index::title' when lang <> 'en' then word || '::index::title' else lang || '::' || word || '::index::title' end as api
+  from link join known using (lang, word)""",
+    "group_expand": """select p_partkey, unnest([p_brand || '::' || p_type, p_brand || '::' || p_type || '::' || p_name, p_brand || '::*']) as reference from part""",
     "glob_resolve": f"""{TRADE},
 items as (select path as module, s_name as name, case s_suppkey % 4 when 0 then '' when 1 then r_name when 2 then path end as scope
   from supplier join place on s_nationkey = n_nationkey)
@@ -314,6 +360,6 @@ where scope is not null and (scope = '' or source = scope or starts_with(source,
 select distinct r_name as source, case when c_custkey % 3 = 2 then 'none' else 'crate' end as prefix,
   case c_custkey % 3 when 0 then r_name || '::' || n_name when 1 then r_name else 'elsewhere' end || '::' || c_mktsegment as reference
 from customer join place on c_nationkey = n_nationkey where c_custkey <= 5000""",
-    "path_tokens": """select doc_id, unnest(regexp_extract_all('x = a :: b; ' || array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:3], '::') || ' + y',
-  '([A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*)+)', 1)) as path from documents""",
+    "path_tokens": f"""select doc_id, regexp_replace(unnest(regexp_extract_all('x = a :: b; ' || coalesce({_TEXT}, ''),
+  '[A-Za-z]+(?:\\s*::\\s*[A-Za-z]+)+')), '\\s+', '', 'g') as path from documents""",
 }

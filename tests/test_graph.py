@@ -98,3 +98,20 @@ def test_a_diamond_has_two_paths(spark):
     assert [tuple(r) for r in graph.path_lengths(found).collect()] == [(2, 2)]
     with pytest.raises(ModuleNotFound, match="Module not found: nonexistent"):
         graph.checked_paths(e, modules, "nonexistent", "other")
+
+
+def test_numbered_over_many_ranges(spark):
+    names = [f"n{i:03d}" for i in range(200)]
+    rows = spark.createDataFrame([(n,) for n in random.Random(3).sample(names, 200)], "name string").repartition(7)
+    got = sorted((r.place, r.name) for r in graph.numbered(rows, "name", "place").collect())
+    assert got == list(zip(range(1, 201), names))
+
+
+def test_exponentially_many_paths_leave_the_driver(spark, monkeypatch):
+    pairs = [(a, b) for i in range(4) for a in ((f"{i}a", f"{i}b") if i else ("s",)) for b in (f"{i + 1}a", f"{i + 1}b")] + [("4a", "t"), ("4b", "t")]
+    found = edges(spark, *pairs)
+    monkeypatch.setattr(graph, "LOCAL_PATHS", 15)
+    assert graph._local_paths(pairs, "s", "t") is None
+    assert sorted(r.path for r in graph.shortest_paths(found, "s", "t").collect()) == sorted(paths(pairs, "s", "t"))
+    monkeypatch.setattr(graph, "LOCAL_PATHS", 16)
+    assert len(graph._local_paths(pairs, "s", "t")) == 16
