@@ -1,50 +1,22 @@
-"""Helpers that the operators share: shared storage, checked broadcasts, components, streaming runs."""
+"""Helpers that the operators share: checked broadcasts, components, streaming runs, and the package's shared storage."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modgraph.storage import discard, materialize, shared_dir  # noqa: F401
+
 #: Rows below which a side of narrow rows (a few longs each) may be broadcast: at most some 8 MB.
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this run below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent a temporary folder serves, on a local master only.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = sc._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else None
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="modgraph-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        sc.setCheckpointDir(f"file://{base}")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to shared storage and read back: lineage ends, and a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a written table has at most so many rows; the count reads file footers only."""
     return df.count() <= rows

@@ -25,7 +25,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), keep_first=False, with_bytes=False).drop("kept")
+    docs = _table(spark, sf_dir, "documents")
+    return repeats.remove_repeats(docs, keep_first=False, with_bytes=False, passage=repeats.PASSAGE).drop("kept")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

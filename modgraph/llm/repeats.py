@@ -11,12 +11,19 @@ its context.
    are put into suffix order column by column from the right (the order at a column follows from that at the next one
    by a stable sort of one byte), together with the longest common prefixes of neighbours. In that order the previous and
    the next smaller text positions of a suffix give its longest previous factor: where it reaches ``length``, the window
-   occurs earlier. Where all copies go, the common prefix with either neighbour says whether it occurs elsewhere.
+   occurs earlier. The previous and the next larger positions say the same of later places. Where first copies stay
+   only the former go, else both.
 3. Anchors with more kinds of contexts than ``most_contexts`` are resolved without meeting in one task: their windows are
    hashed and counted in groups.
 
 Removing later copies keeps the first of each string (by doc_id, then place); removing all takes out every copy.
 
+Passages are reported beside that, in words, since a run of over 50 short words can be shorter than a window of bytes:
+of every run of ``passage`` words the string of PASSAGE_GRAM words with the smallest hash is marked, so two documents that
+share such a run share a mark. ``n_passage_words`` counts the words of a document under marks that another document has:
+more than zero for each repeated run of ``passage`` words, zero where no PASSAGE_GRAM words in a row repeat. Words are
+parted by ASCII white space. The count removes nothing.
+
 Defined results: a null text is empty; texts shorter than a window are kept whole; rows that repeat an id and text are
 copies of each other, and where first copies stay such rows stay or go alike; rows
 without an id come before all others; other columns are not read.
@@ -25,6 +32,7 @@ without an id come before all others; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import Batches, Mapper, each_text, given_id, known_id, materialize, runs, text_bytes
+from modgraph.llm.common import Batches, Mapper, discard, each_text, given_id, known_id, materialize, runs, text_bytes
 
 LENGTH, GRAM = 400, 48
+PASSAGE, PASSAGE_GRAM = 50, 35
 BUFFER = 1 << 20
 PLACE_BITS = 21
+SPACE = re.compile(rb"[\t-\r ]")
 MOST_CONTEXTS = 4096
 PAD = 256
 OCCURRENCE = "anchor bigint, ctx bigint, doc_id bigint, key bigint, pos bigint, lo int, wins int"
@@ -72,9 +82,9 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def window_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place of the anchor of each window, and the gram hashes. The data has at most 2**PLACE_BITS bytes."""
-    gram = min(GRAM, length)
+def window_anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the anchor of each window, and the gram hashes. The data has at most 2**PLACE_BITS bytes, or words."""
+    gram = min(gram, length)
     hashes = gram_hashes(data, gram)
     places = np.arange(len(hashes), dtype=np.uint64)
     least = (hashes >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | places
@@ -142,6 +152,59 @@ def find_anchors(length: int) -> Mapper:
     return find
 
 
+# ---- passages of words
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """XXH64 of each word, from parts of a text that end between words."""
+    out, at = [np.empty(0, np.uint64)], 0
+    while at < len(text):
+        space = SPACE.search(text, at + BUFFER)
+        end = space.start() if space else len(text)
+        out.append(np.fromiter(map(xxhash.xxh64_intdigest, text[at:end].split()), np.uint64))
+        at = end
+    return np.concatenate(out)
+
+
+def find_marks(passage: int) -> Mapper:
+    """Over rows (doc, text): rows (mark, doc, pos) of the marked strings of words."""
+
+    def find(batches: Batches) -> Batches:
+        step = BUFFER - passage + 1
+        for batch in batches:
+            held: list[tuple[np.ndarray, int, np.ndarray]] = []
+            for doc, text in zip(batch.column(0).to_pylist(), each_text(batch.column(1))):
+                words = word_hashes(text or b"")
+                for at in range(0, len(words) - passage + 1, step):
+                    places, hashes = window_anchors(words[at : at + BUFFER], passage, PASSAGE_GRAM)
+                    places = np.unique(places)
+                    held.append((hashes[places], doc, places + at))
+            if held:
+                sizes = [len(h[0]) for h in held]
+                columns = [np.concatenate([h[0] for h in held]).view(np.int64), np.repeat([h[1] for h in held], sizes), np.concatenate([h[2] for h in held]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mark", "doc", "pos"])
+
+    return find
+
+
+def passage_words(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """(doc, n_passage_words) of documents that share a mark with another; narrow rows alone are shuffled.
+
+    Whether a mark has two documents is told by the least and the greatest, so a mark that everything holds is
+    aggregated before it is shuffled.
+    """
+    doc = F.xxhash64(known_id(), F.xxhash64("text"))
+    marks = materialize(docs.where("text is not null").select(doc.alias("doc"), "text").mapInArrow(find_marks(passage), "mark bigint, doc bigint, pos int"))
+    shared = marks.groupBy("mark").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("mark")
+    shared = materialize(shared)  # read back, so that a partition with a common mark can be split
+    at = marks.join(shared, "mark", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    gram = F.lit(min(PASSAGE_GRAM, passage))
+    steps = F.transform("at", lambda x, i: F.least(gram, F.coalesce(F.get("at", i + 1) - x, gram)))
+    found = materialize(at.select("doc", F.aggregate(steps, F.lit(0), lambda x, y: x + y).cast("bigint").alias("n_passage_words")))
+    discard(marks, shared)
+    return found
+
+
 # ---- suffix order of the contexts of an anchor
 
 
@@ -160,7 +223,11 @@ def nearest_smaller(value: np.ndarray, run: np.ndarray, step: int) -> np.ndarray
 
 
 def repeated_windows(contexts: list[bytes], group: np.ndarray, lo: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two masks over (context, place of the window): it occurs at an earlier, and at any other, text position.
+    """Two masks over (context, place of the window): it occurs at an earlier, and at a later, text position.
+
+    In suffix order the longest match of a window at a smaller position is with its previous or next smaller value, the
+    one at a larger position with its previous or next larger value; both are sought among neighbours whose common
+    prefix reaches the length.
 
     group: ascending numbers below 128 of the anchors; position: the contexts' order in the corpus, without ties
     within a group. Context bytes are put under each other by their anchors.
@@ -175,7 +242,7 @@ def repeated_windows(contexts: list[bytes], group: np.ndarray, lo: np.ndarray, p
         matrix[at : at + len(c), i] = np.frombuffer(c, np.uint8)
     base = group.astype(np.uint16) << np.uint16(9)
     order, prefix = np.arange(n), np.zeros(n, np.int32)
-    earlier, other = np.zeros((n, width), bool), np.zeros((n, width), bool)
+    earlier, later = np.zeros((n, width), bool), np.zeros((n, width), bool)
     for c in range(width - 1, -1, -1):
         key = (base | matrix[c])[order]
         if (key[1:] < key[:-1]).any():
@@ -192,14 +259,18 @@ def repeated_windows(contexts: list[bytes], group: np.ndarray, lo: np.ndarray, p
             prefix[1:] = np.where(same, prefix[1:] + 1, 0)
         if width - c >= length and (prefix >= length).any():
             linked = prefix >= length
-            run = np.cumsum(~linked)
-            value = position[order]
             member = linked.copy()
             member[:-1] |= linked[1:]
-            before = (nearest_smaller(value, run, -1) >= 0) | (nearest_smaller(value, run, 1) >= 0)
-            other[order, c] = member
-            earlier[order, c] = member & before
-    return earlier[:, :], other
+            at = np.flatnonzero(member)  # neighbours in suffix order that agree in a whole window stand in one run
+            run, value = np.cumsum(~linked)[at], position[order[at]]
+            earlier[order[at], c] = has_nearest(value, run)
+            later[order[at], c] = has_nearest(-value, run)
+    return earlier, later
+
+
+def has_nearest(value: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Whether there is a smaller value in the same run, before or after."""
+    return (nearest_smaller(value, run, -1) >= 0) | (nearest_smaller(value, run, 1) >= 0)
 
 
 def intervals(mask: np.ndarray) -> np.ndarray:
@@ -220,12 +291,12 @@ def resolve_contexts(length: int) -> Mapper:
         lo = np.array([r[2] for r in rows])
         rank = np.empty(len(rows), np.int64)
         rank[np.lexsort(([r[5] for r in rows], [r[4] for r in rows]))] = np.arange(len(rows))
-        earlier, other = repeated_windows([r[6] for r in rows], group, lo, rank, length)
+        earlier, later = repeated_windows([r[6] for r in rows], group, lo, rank, length)
         left = int(lo.max())
         cut = lambda mask: [intervals(mask[i, left - r[2] : left - r[2] + r[3]]) for i, r in enumerate(rows)]
         names = ["anchor", "ctx", "lo", "wins", "earlier", "other"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        columns = [[r[i] for r in rows] for i in range(4)] + [cut(earlier), cut(other)]
+        columns = [[r[i] for r in rows] for i in range(4)] + [cut(earlier), cut(earlier | later)]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def resolve(batches: Batches) -> Batches:
@@ -311,10 +382,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     if not large.isEmpty():
         solved = solved.unionByName(_resolve_large(large.dropDuplicates(CONTEXT_KEY), length))
     solved = materialize(solved.where((F.size("other") > 0) | (F.size("earlier") > 0)))
+    discard(wanted, held)
     first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")) & (F.col("key") == F.col("first.key"))
     whole = F.array(F.lit(0), F.col("wins"))
     told = kinds.join(solved, CONTEXT_KEY, "left").where("n > 1 or other is not null")
     told = materialize(told.select(*CONTEXT_KEY, "n", "first", "earlier", "other"))
+    discard(kinds, solved)
     at = found.join(told, CONTEXT_KEY)
     if keep_first:
         part = F.when(first, F.col("earlier")).otherwise(whole)
@@ -322,7 +395,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
         part = F.when(F.col("n") > 1, whole).otherwise(F.col("other"))
     moved = F.transform(part, lambda w: (w + F.col("pos") - F.col("lo")))
     at = at.select("doc_id", "key", moved.alias("s")).where(F.size("s") > 0)
-    return at.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    spans = materialize(at.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("s")).alias("spans")))
+    discard(found, told)
+    return spans
 
 
 def cover(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
@@ -340,9 +415,12 @@ REMOVED = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary,kep
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, keep_first: bool = True, with_bytes: bool = True, most_contexts: int = MOST_CONTEXTS
+    docs: DataFrame, length: int = LENGTH, keep_first: bool = True, with_bytes: bool = True, most_contexts: int = MOST_CONTEXTS, passage: int | None = None
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) per row of documents; kept is null unless asked for."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) per row of documents; kept is null unless asked for.
+
+    With ``passage``, also n_passage_words.
+    """
 
     def apply(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
@@ -358,9 +436,17 @@ def remove_repeats(
         columns = list(zip(*out)) or [[]] * 5
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    spans = materialize(repeated_spans(docs, length, keep_first, most_contexts))
-    rows = docs.select(known_id().alias("doc_id"), F.xxhash64("text").alias("key"), "text").join(spans, ["doc_id", "key"], "left")
-    return rows.select("doc_id", F.arrow_udf(apply, REMOVED)("text", "spans").alias("r")).select(given_id().alias("doc_id"), "r.*")
+    spans = repeated_spans(docs, length, keep_first, most_contexts)
+    more = []
+    if passage is not None:
+        spans = spans.withColumn("doc", F.xxhash64("doc_id", "key")).join(passage_words(docs, passage), "doc", "full")
+        more = [F.coalesce("n_passage_words", F.lit(0).cast("bigint")).alias("n_passage_words")]
+    told = docs.select(known_id().alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    if passage is None:
+        rows = told.join(spans, ["doc_id", "key"], "left")
+    else:
+        rows = told.withColumn("doc", F.xxhash64("doc_id", "key")).join(materialize(spans.drop("doc_id", "key")), "doc", "left")
+    return rows.select("doc_id", F.arrow_udf(apply, REMOVED)("text", "spans").alias("r"), *more).select(given_id().alias("doc_id"), "r.*", *(["n_passage_words"] if more else []))
 
 
 # ---- the array itself, for one text

@@ -97,15 +97,49 @@ def test_suffix_order_agrees_with_previous_factors():
         lo.append(left)
     group = np.array([i // 10 for i in range(40)])
     position = np.array(rng.sample(range(40), 40))
-    earlier, other = repeats.repeated_windows(contexts, group, np.array(lo), position, 6)
+    earlier, later = repeats.repeated_windows(contexts, group, np.array(lo), position, 6)
     for i in range(40):
         for at in range(len(contexts[i])):
             column = max(lo) - lo[i] + at
             window = contexts[i][at : at + 6]
             same = [j for j in range(40) if j != i and group[j] == group[i] and len(window) == 6 and 0 <= at - lo[i] + lo[j] and contexts[j][at - lo[i] + lo[j] : at - lo[i] + lo[j] + 6] == window]
-            assert other[i, column] == bool(same)
             assert earlier[i, column] == any(position[j] < position[i] for j in same)
+            assert later[i, column] == any(position[j] > position[i] for j in same)
 
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_passages_of_words(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages = [make(rng.randint(30, 70)) for _ in range(12)]
+    rows = []
+    for i in range(80):
+        words = make(rng.randint(0, 120))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(words))
+            words[at:at] = rng.choice(passages)
+        rows.append((i, rng.choice([" ", "\n", " \t"]).join(words), "", 0))
+    rows += [(90, " ".join(["again"] * 200), "", 0), (91, None, "", 0), (92, rows[0][1], "", 0), (92, rows[0][1], "", 0), (None, rows[1][1], "", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {(r.doc_id, r.kept_sha256): r.n_passage_words for r in repeats.remove_repeats(docs, 400, False, with_bytes=False, passage=50).collect()}
+    assert len(got) == len(rows) - 1
+    holders = {}
+    for n in (35, 50):
+        for d, text, *_ in rows:
+            w = (text or "").split()
+            for k in range(len(w) - n + 1):
+                holders.setdefault((n, *w[k : k + n]), set()).add(d)
+    by_doc = {}
+    for (d, _), n in got.items():
+        by_doc[d] = n
+    for d, text, *_ in rows:
+        w = (text or "").split()
+        under = {n: {x for k in range(len(w) - n + 1) if len(holders[(n, *w[k : k + n])]) > 1 for x in range(k, k + n)} for n in (35, 50)}
+        assert by_doc[d] <= len(under[35])
+        assert (by_doc[d] >= 35) == bool(by_doc[d])
+        if under[50]:
+            assert by_doc[d]
