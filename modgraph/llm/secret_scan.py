@@ -1,10 +1,14 @@
-"""Secret scans behind a trigram index.
+"""Secret scans behind an inverted index of trigrams.
 
 Every rule's regular expression yields a Boolean query of lower-case trigrams that any match must contain: literals give
-conjunctions, alternatives disjunctions. The index holds, for each document, which trigrams of the rules' vocabulary its
-text has: postings as one bitmap per document, so intersecting the postings of a query is a bitwise test in the row that
-holds the text, and nothing is shuffled. ``postings`` gives the same index inverted, trigram by trigram, for storage.
-Only candidates run the expression. Rules without mandatory trigrams scan every text.
+conjunctions, alternatives disjunctions. The index is a table of postings (term, key): which texts, by their hash, have
+which trigram of the rules' vocabulary. Intersecting the postings of all queries is one aggregation by key, in which a
+text that stands in many rows counts once on the map side; what is left are the candidates (key, rules) that satisfy
+some query. They go back to the texts, and a rule's expression runs on its candidates alone, which verifies them. Rules
+without mandatory trigrams scan every text. Two texts of one hash only share candidates, never matches.
+
+Few candidates are broadcast, by a count; many are joined by key, where AQE may split a text that a third of the rows
+hold. Texts without any trigram of the vocabulary are in no posting.
 
 Defined results: a null text is empty; rows that repeat a doc_id are scanned each; other columns are not read.
 """
@@ -18,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import sha256_of_spans
+from modgraph.llm.common import discard, join_checked, materialize, sha256_of_spans
 from modgraph.llm.spans import find_spans, no_spans
 
 #: Fixed values: (kind, expression, group, shortest length of the group) of the base rules.
@@ -55,6 +59,9 @@ def disjunction(parts: list) -> object:
     if not parts or any(p is True for p in parts):
         return True
     unique = list(dict.fromkeys(p if isinstance(p, str) else (p[0], tuple(p[1])) for p in parts))
+    sets = [frozenset((p,) if isinstance(p, str) else p[1]) if isinstance(p, str) or p[0] == "and" else None for p in unique]
+    # an alternative that asks for all that another asks for, and more, adds nothing
+    unique = [p for p, own in zip(unique, sets) if own is None or not any(x is not None and x < own for x in sets)]
     return unique[0] if len(unique) == 1 else ("or", unique)
 
 
@@ -138,17 +145,16 @@ def vocabulary(rules: list[tuple]) -> list[str]:
     return sorted(set().union(*(trigrams_of(trigram_query(r[1])) for r in rules)))
 
 
-def bitmap(text: Column, words: list[str]) -> list[Column]:
-    """The postings of a text: bit i of part i // 62 tells whether it has trigram i."""
-    low = F.lower(text)
-    out = []
-    for at in range(0, len(words), 62):
-        bits = [F.when(low.contains(t), 1 << i).otherwise(0).cast("bigint") for i, t in enumerate(words[at : at + 62])]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total + b
-        out.append(total)
-    return out
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def postings(docs: DataFrame, rules: list[tuple] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """The inverted index over the rules' vocabulary: rows (term, key); term is the trigram's place in the vocabulary."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(text_key(text).alias("key"), F.lower(text).alias("low"))
+    has = F.array_compact(F.array(*(F.when(F.col("low").contains(t), F.lit(i)) for i, t in enumerate(vocabulary(rules)))).cast("array<int>"))
+    return rows.select(F.explode(has).alias("term"), "key")
 
 
 def matches_query(query: object, words: list[str], maps: list[Column]) -> Column:
@@ -177,12 +183,16 @@ def matches_query(query: object, words: list[str], maps: list[Column]) -> Column
     return out
 
 
-def postings(docs: DataFrame, rules: list[tuple] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """The inverted index as rows (trigram, doc_id), over the rules' vocabulary."""
+def candidates(index: DataFrame, rules: list[tuple] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """(key, rules): the texts that satisfy the query of some rule; rules holds the places of those rules."""
     words = vocabulary(rules)
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    has = F.array_compact(F.array(*(F.when(low.contains(t), F.lit(t)) for t in words)))
-    return docs.select(F.explode(has).alias("trigram"), "doc_id").distinct()
+    bit = lambda p: F.when(F.floor(F.col("term") / 62) == p, F.expr("shiftleft(1L, term % 62)"))
+    names = [f"m{p}" for p in range(-(-len(words) // 62))] or ["m0"]
+    sets = index.groupBy("key").agg(*(F.coalesce(F.bit_or(bit(p)), F.lit(0).cast("bigint")).alias(n) for p, n in enumerate(names)))
+    maps = [F.col(n) for n in names]
+    queries = [trigram_query(r[1]) for r in rules]
+    hold = [F.when(matches_query(q, words, maps), F.lit(k)) for k, q in enumerate(queries) if q is not True]
+    return sets.select("key", F.array_compact(F.array(*hold).cast("array<int>")).alias("rules")).where(F.size("rules") > 0)
 
 
 def _group_is_long(regex: str, group: int, least: int) -> Callable[[Column], Column]:
@@ -202,18 +212,17 @@ def _named(rule: int, kind: str) -> Callable[[Column], Column]:
 def scan(docs: DataFrame, base: list[tuple] = BASE_RULES, more: list[tuple] = MORE_RULES) -> DataFrame:
     """(doc_id, found): an array of (start, rule, end, kind, value) by start, then rule, per row of documents."""
     rules = [*base, *more]
-    words = vocabulary(rules)
+    index = materialize(postings(docs, rules))
+    told = materialize(candidates(index, rules))
+    discard(index)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    names = [f"_p{k}" for k in range(-(-len(words) // 62))]
-    rows = rows.select("*", *(m.alias(n) for m, n in zip(bitmap(F.col("text"), words), names)))
-    maps = [F.col(n) for n in names]
+    rows = docs.select("doc_id", text.alias("text")).withColumn("key", text_key(F.col("text")))
+    rows = join_checked(rows, told, "key", "left")
     parts = []
     for k, (kind, regex, group, least) in enumerate(rules):
         spans = find_spans(F.col("text"), regex)
-        query = trigram_query(regex)
-        if query is not True:
-            spans = F.when(matches_query(query, words, maps), spans).otherwise(no_spans())
+        if trigram_query(regex) is not True:
+            spans = F.when(F.array_contains("rules", k), spans).otherwise(no_spans())
         if group:
             spans = F.filter(spans, _group_is_long(regex, group, least))
         parts.append(F.transform(spans, _named(k, kind)))

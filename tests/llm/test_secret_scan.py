@@ -62,10 +62,45 @@ def test_queries_are_mandatory():
     assert ss.trigram_query("abc(d|e)f?") == ("or", [("and", ("abc", "bcd")), ("and", ("abc", "bce"))]) or ss.trigrams_of(ss.trigram_query("abc(d|e)f?")) >= {"abc"}
 
 
-def test_postings_are_the_bitmaps_inverted(spark):
-    docs = spark.createDataFrame([(1, "my TOKEN = x", 0, ""), (2, "none", 0, ""), (3, None, 0, "")], SCHEMA)
-    got = {(r.trigram, r.doc_id) for r in ss.postings(docs).collect()}
-    assert ("tok", 1) in got and all(d == 1 for _, d in got)
+def test_postings_and_their_intersection(spark):
+    """The index has the vocabulary's trigrams of each text, and candidates are what the queries ask for, text by text."""
+    from pyspark.sql import functions as F
+
+    rules = ss.BASE_RULES + ss.MORE_RULES
+    words = ss.vocabulary(rules)
+    rows = [(i, t, 0, "") for i, t in enumerate(texts())]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    keys = {r.k: r.t or "" for r in docs.select(ss.text_key(F.coalesce("text", F.lit(""))).alias("k"), F.coalesce("text", F.lit("")).alias("t")).collect()}
+    low = spark.createDataFrame([(k, t) for k, t in keys.items()], "k bigint, t string").select("k", F.lower("t").alias("t"))
+    low = {r.k: r.t for r in low.collect()}
+    index = {(r.term, r.key) for r in ss.postings(docs).collect()}
+    assert index == {(i, k) for k, t in low.items() for i, w in enumerate(words) if w in t}
+
+    def holds(query, text):
+        if isinstance(query, str):
+            return query in text
+        return (all if query[0] == "and" else any)(holds(q, text) for q in query[1])
+
+    queries = [ss.trigram_query(r[1]) for r in rules]
+    want = {k: [i for i, q in enumerate(queries) if q is not True and holds(q, t)] for k, t in low.items()}
+    got = {r.key: r.rules for r in ss.candidates(ss.postings(docs)).collect()}
+    assert got == {k: r for k, r in want.items() if r}
+
+
+def test_many_candidates_are_joined(spark, monkeypatch):
+    from modgraph.llm import common
+
+    rows = [(i, t, 1, "k") for i, t in enumerate(texts())] + [(900 + i, "token = abcdefg", 1, "k") for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, ss.report(docs).collect()), key=str)
+    monkeypatch.setattr(common.small_enough, "__defaults__", (0,))
+    assert sorted(map(tuple, ss.report(docs).collect()), key=str) == want
+
+
+def test_rules_without_trigrams(spark):
+    docs = spark.createDataFrame([(1, "ab12 cd", 0, ""), (2, None, 0, "")], SCHEMA)
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.found] for r in ss.scan(docs, [("n", "[0-9]{2}", 0, 1)], []).collect()}
+    assert got == {1: [("n", 2, 4)], 2: []}
 
 
 def test_many_spans_in_one_text(spark):
