@@ -1,11 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a list of text nodes, each with its elements from the root. Text under elements that are never content
-(menus, forms, scripts and the like, by tag, role or class) is set aside. The rest is summed per root-to-leaf tag path:
-characters per node and punctuation per node. Each node takes its path's two ratios; they are smoothed along the page
-by a Gaussian, fused as a geometric mean and compared with a threshold from their mean and deviation. The nodes above it
-are content nodes; the article is the ``article`` or ``main`` element that holds most of their text, else the deepest
-element that holds nearly all of it. Its text is given whole, but for what was set aside.
+A page becomes a list of text nodes, each with its elements from the root. Elements that HTML itself names as no content
+(menus, forms, scripts and the like, by tag, role or hidden) are set aside. The others' nodes are told apart by their
+root-to-leaf path of block tags. Over each path the text outside of links and the punctuation are summed and divided by
+its nodes; a node takes the two ratios of its path, they are smoothed along the page by a Gaussian and fused as a
+geometric mean, and the mean of that over a path's nodes is its score. Paths at or above a threshold from the mean and
+deviation of the scores, over all characters that no mark speaks against, are content; all else follows from their text:
+
+* the root is the deepest element that holds SHARE of that text, or the ``article`` or ``main`` around it;
+* words of classes and ids that speak of adverts, comments and the like are a weak prior: an element that has them goes
+  only where the content outside of it is at least PRIOR of that inside, so they never take the bulk of a page's content
+  away. Reader comments may be far longer than the article; they also go where OUTSIDE characters of content are left;
+* lists of links and elements called sidebar and the like, up to half of the page, go where the root is no ``article``.
+
+All other text of the root is given whole, so headings, short paragraphs, lists and tables stay.
 
 Defined results: a null or empty page, or one without text, gives the empty string; white space is what Unicode calls
 so; an unclosed element ends with the one around it; rows that repeat a page_id are pages of their own.
@@ -33,7 +41,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 #: HTML's own lists of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg object canvas audio video".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -44,38 +52,41 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPE = frozenset("ul ol dl table body html article section div main".split())
 NEVER = frozenset("head nav footer aside form menu button select option dialog input fieldset".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of classes and ids that mark what is not the article. The second list also occurs on wrappers
-#: of the whole page, so there an element with most of the page's text stays.
-NEVER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe comment comments disqus replies respond breadcrumb breadcrumbs navbar menu pagination pager share sharing social related recommended recommendations".split()
+#: Words of classes and ids that mark what is not the article; of the reader's comments; and of parts that
+#: are small where they are not the article.
+MARK_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe breadcrumb breadcrumbs navbar menu pagination pager share sharing social related recommended recommendations".split()
 )
-NEVER_IF_SMALL = frozenset(
-    "sidebar side nav navigation header masthead footer banner notice notices alert widget widgets toolbar login signup search copyright legal disclaimer byline tags topbar aside".split()
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+SMALL_WORDS = frozenset(
+    "sidebar side nav navigation header masthead footer banner notice notices alert widget widgets toolbar login signup search copyright tags topbar aside".split()
 )
-WIDTH, SPREAD, SHARE = 2, 0.5, 0.8
+WIDTH, SPREAD, SHARE, PRIOR, OUTSIDE = 2, 1.0, 0.8, 0.25, 50
 
 
 class Element:
-    __slots__ = ("tag", "parent", "off", "maybe", "size", "links", "chosen", "depth")
+    __slots__ = ("tag", "parent", "off", "mark", "small", "size", "links", "content", "depth")
 
-    def __init__(self, tag: str, parent: Element | None, off: bool = False, maybe: bool = False):
-        self.tag, self.parent, self.off, self.maybe = tag, parent, off, maybe
-        self.size = self.links = self.chosen = 0
+    def __init__(self, tag: str, parent: Element | None, off: bool = False, mark: str = "", small: bool = False):
+        self.tag, self.parent, self.off, self.mark, self.small = tag, parent, off, mark, small
+        self.size = self.links = self.content = 0
         self.depth = parent.depth + 1 if parent else 0
 
 
-def kind_of(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is never content, and whether it is none unless it holds most of the page."""
+def kind_of(tag: str, attrs: str, inside: bool) -> tuple[bool, str, bool]:
+    """Whether an element is never content, its mark ("", "part" or "comment"), and whether it is called like a small part."""
     off = tag in NEVER or tag == "header" and not inside
-    maybe = False
+    mark, small = "", False
     if attrs and tag not in ("html", "body"):
         for m in ATTRIBUTE.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
                 words = set(WORD.findall(value))
-                if tag != "main" and words & NEVER_WORDS:
-                    off = True
-                maybe = maybe or bool(words & NEVER_IF_SMALL)
+                if words & COMMENT_WORDS:
+                    mark = "comment"
+                elif words & MARK_WORDS:
+                    mark = mark or "part"
+                small = small or bool(words & SMALL_WORDS)
             elif name == "role":
                 off = off or value in NEVER_ROLES
             elif name == "style":
@@ -84,7 +95,7 @@ def kind_of(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
                 off = True
             elif name == "aria-hidden":
                 off = off or value == "true"
-    return off, maybe
+    return off, mark, small
 
 
 def text_nodes(page: str) -> list[tuple[Element | None, str]]:
@@ -124,8 +135,8 @@ def text_nodes(page: str) -> list[tuple[Element | None, str]]:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             elif tag not in VOID:
-                off, maybe = kind_of(tag, attrs, articles > 0)
-                top = Element(tag, top, top.off or off, maybe)
+                off, mark, small = kind_of(tag, attrs, articles > 0)
+                top = Element(tag, top, top.off or off, mark, small)
                 articles += tag in ("article", "main")
         elif m["end"]:
             tag = m["end"].lower()
@@ -151,24 +162,41 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content_scores(nodes: list[tuple[Element, str]]) -> list[float]:
-    """The fused, smoothed path ratios of text nodes."""
-    paths, known = [], {}
-    for e, _ in nodes:
-        if e not in known:
-            tags, x = [], e
-            while x:
-                tags.append(x.tag)
-                x = x.parent
-            known[e] = tuple(tags)
-        paths.append(known[e])
+def path_of(e: Element | None) -> tuple[tuple[str, ...], bool, bool]:
+    """The block tags from the root, marked ones with an exclamation mark; whether any is marked, and whether in a link."""
+    tags, marked, link = [], False, False
+    while e:
+        if e.tag not in INLINE:
+            tags.append(e.tag + "!" * bool(e.mark))
+        marked = marked or bool(e.mark)
+        link = link or e.tag == "a"
+        e = e.parent
+    return tuple(reversed(tags)), marked, link
+
+
+def content_nodes(nodes: list[tuple[Element, str]]) -> list[bool]:
+    """Whether the path of each text node reaches the threshold."""
+    known = {e: path_of(e) for e in {e for e, _ in nodes}}
+    paths = [known[e][0] for e, _ in nodes]
     count, chars, marks = Counter(paths), Counter(), Counter()
-    for p, (_, t) in zip(paths, nodes):
-        chars[p] += len(t)
-        marks[p] += len(PUNCTUATION.findall(t))
+    for p, (e, t) in zip(paths, nodes):
+        if not known[e][2]:
+            chars[p] += len(t.strip())
+            marks[p] += len(PUNCTUATION.findall(t))
     length = smoothed([chars[p] / count[p] for p in paths])
     punctuation = smoothed([marks[p] / count[p] for p in paths])
-    return [math.sqrt(a * (b + 0.1)) for a, b in zip(length, punctuation)]
+    total: dict[tuple, float] = {}
+    for p, a, b in zip(paths, length, punctuation):
+        total[p] = total.get(p, 0.0) + math.sqrt(a * (b + 0.1))
+    marked = {known[e][0] for e, _ in nodes if known[e][1]}
+    scores = [total[p] / count[p] for p in paths]
+    weights = [len(t.strip()) * (p not in marked) for p, (_, t) in zip(paths, nodes)]
+    if not any(weights):
+        weights = [len(t.strip()) for _, t in nodes]
+    mean = sum(w * s for w, s in zip(weights, scores)) / sum(weights)
+    deviation = math.sqrt(sum(w * (s - mean) ** 2 for w, s in zip(weights, scores)) / sum(weights))
+    least = min(mean - SPREAD * deviation, max(scores)) - 1e-9  # equal scores all pass, however they were added up
+    return [s >= least for s in scores]
 
 
 def main_text(page: str | None) -> str:
@@ -177,46 +205,60 @@ def main_text(page: str | None) -> str:
     if not nodes:
         return ""
     elements: dict[Element, None] = {}
-    for e, t in nodes:
+    whole = content = 0
+    chosen_nodes = content_nodes(nodes)
+    for (e, t), chosen in zip(nodes, chosen_nodes):
         n, link, x = len(t.strip()), False, e
+        whole += n
+        content += n * chosen
         while x:
             elements[x] = None
             link = link or x.tag == "a"
             x.size += n
             x.links += n * link
+            x.content += n * chosen
             x = x.parent
-    whole = max(e.size for e in elements)
-    dropped = {
+    # marked elements, outermost first: each is judged by the content that those before it left
+    gone: set[Element] = set()
+    left = content
+    for e in sorted((e for e in elements if e.mark), key=lambda e: e.depth):
+        x = e.parent
+        while x and x not in gone:
+            x = x.parent
+        if x is None:
+            outside = left - e.content
+            if outside >= min(PRIOR * e.content, OUTSIDE if e.mark == "comment" else math.inf):
+                gone.add(e)
+                left = outside
+    small = {
         e
         for e in elements
-        if e.maybe and 2 * e.size <= whole or e.tag in ("ul", "ol", "dl", "table") and e.links > 0.8 * e.size and 2 * e.size <= whole
+        if 2 * e.size <= whole and (e.small or e.tag in ("ul", "ol", "dl", "table") and e.links > 0.8 * e.size)
     }
 
-    def kept(e: Element | None) -> bool:
-        while e:
-            if e in dropped:
-                return False
+    def below(e: Element | None, tops: set[Element]) -> bool:
+        while e and e not in tops:
             e = e.parent
-        return True
-
-    fine = {e: kept(e) for e in {e for e, _ in nodes}}
-    nodes = [(e, t) for e, t in nodes if fine[e]] or nodes
-    scores = content_scores(nodes)
-    mean = sum(scores) / len(scores)
-    deviation = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    total = 0
-    for (e, t), s in zip(nodes, scores):
-        if s >= mean - SPREAD * deviation:
-            total += len(t)
-            while e:
-                e.chosen += len(t)
-                e = e.parent
-    held = [e for e in elements if e.chosen]
-    articles = [e for e in held if e.tag in ("article", "main") and 2 * e.chosen >= total]
-    if articles:
-        root = max(articles, key=lambda e: (e.tag == "article", e.chosen, -e.depth))
-    else:
-        root = max((e for e in held if e.chosen >= SHARE * total and e.tag not in INLINE and e.tag != "p"), key=lambda e: e.depth)
+        return e is not None
+
+    held: dict[Element, int] = {}
+    for (e, t), chosen in zip(nodes, chosen_nodes):
+        if chosen and not below(e, gone) and not below(e, small):
+            x = e
+            while x:
+                held[x] = held.get(x, 0) + len(t.strip())
+                x = x.parent
+    if not held:
+        held, small = {e: e.content for e in elements if e.content}, set()
+    total = max(held.values())
+    root = max((e for e in held if held[e] >= SHARE * total and e.tag not in INLINE and e.tag != "p"), key=lambda e: e.depth)
+    around, x = [], root
+    while x:
+        if x.tag in ("article", "main"):
+            around.append(x)
+        x = x.parent
+    root = next((x for x in around if x.tag == "article"), around[0] if around else root)
+    tops = gone if root.tag == "article" else gone | small
     inside: dict[Element, bool] = {}
 
     def within(e: Element) -> bool:
@@ -224,8 +266,7 @@ def main_text(page: str | None) -> str:
             x = e
             while x and x is not root:
                 x = x.parent
-            # of an article nothing goes for its links or its size
-            inside[e] = x is root and not e.off and (root.tag == "article" or kept(e))
+            inside[e] = x is root and not e.off and not below(e, tops)
         return inside[e]
 
     return " ".join("".join(" " if e is None else t for e, t in parts if e is None or within(e)).split())
