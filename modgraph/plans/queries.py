@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from modgraph.functions import paths as P
 from modgraph.operators import graph, resolve, rules
+from modgraph.plans import rust_queries
 from modgraph.sources import tables
 from modgraph.sources.rust.items import token_paths
 from modgraph.storage import materialize
@@ -226,7 +227,7 @@ def path_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(F.arrow_udf(_token_paths, "array<string>")(source)).alias("path"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = rust_queries.QUERIES | {
     f.__name__: f
     for f in (
         module_list,
@@ -311,7 +312,7 @@ _TEXT = "text"
 for _old, _new in TEXT_STEPS:
     _TEXT = f"regexp_replace({_TEXT}, '{_old}', '{_new}', 'g')"
 
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = rust_queries.ORACLE_SQL | {
     "module_list": """with place as (select n_nationkey, r_name, n_name from nation join region on n_regionkey = r_regionkey)
 select distinct r_name as path, '' as parent, 1 as depth from place
 union all select distinct r_name || '::' || n_name, r_name, 2 from place
