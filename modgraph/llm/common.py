@@ -13,13 +13,24 @@ from pyspark.sql import functions as F
 
 from modgraph.storage import discard, materialize, shared_dir  # noqa: F401
 
-#: Rows below which a side of narrow rows (a few longs each) may be broadcast: at most some 8 MB.
-BROADCAST_ROWS = 200_000
-
-
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table has at most so many rows; the count reads file footers only."""
-    return df.count() <= rows
+#: Rows and bytes below which a side may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most so many rows and bytes; of narrow columns alone (numbers), the count tells both."""
+    long = []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            long.append(F.octet_length(f.name))
+        elif kind == "array":
+            inner = f.dataType.elementType.typeName()
+            long.append(F.octet_length(F.to_json(f.name)) if inner in ("string", "binary", "array", "struct") else 8 * F.size(f.name))
+    if not long:
+        return df.count() <= rows
+    n, size = df.agg(F.count("*"), *[F.sum(sum((F.coalesce(x, F.lit(0)).cast("bigint") for x in long), F.lit(0)))]).first()
+    return n <= rows and (size or 0) <= most
 
 
 #: Stands for a missing id inside an operator, where ids meet by equality.
@@ -36,7 +47,7 @@ def given_id(column: str = "doc_id") -> Column:
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
-    """Broadcast the narrow right side where its counted rows allow, else a shuffled join that AQE may split."""
+    """Broadcast the right side where its counted rows and bytes allow, else a shuffled join that AQE may split."""
     return left.join(F.broadcast(right) if small_enough(right) else right, on, how)
 
 

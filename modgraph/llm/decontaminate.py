@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows, with SQL functions alone.
 
 Words are runs of letters and digits, lower-cased; shingles have five words (an item of fewer words is one shingle).
-A window of a document that resembles an item shares shingles with it, so the shingles of the benchmark, broadcast after
-a check of their number, place candidate windows: a shared shingle puts the item beside the text, and shingles that
-agree on the place are counted together. A window as long as the item and at least as similar as asked for keeps runs
-of shingles in place, so places with too few of them are left out by a bound on their number. Each window then gets a
-64-bit SimHash of its shingles. A multi-index over items of the same length finds all fingerprints within the radius:
-the 64 bits are cut into blocks, and fingerprints at most ``radius`` bits apart differ by at most radius // blocks bits
-in some block, so every item is listed under all values that near in every block. Pairs within the radius are verified
-by the exact weighted Jaccard similarity of shingles, a shingle weighing as often as it occurs.
+Windows are as long as an item. One that shares no shingle with an item of its length has similarity zero, so windows
+are taken wherever a shingle of the benchmark, broadcast after a check of their number, puts an item beside the text, with
+no least number of shared shingles. (Fingerprints of every window of every length would cost some 64 additions for each
+of its shingles in SQL functions; that is thousands of CPU seconds a GB.) Each window gets a 64-bit SimHash of its
+shingles. A multi-index over items of the same length finds all fingerprints within the radius: the 64 bits are cut into
+blocks, and fingerprints at most ``radius`` bits apart differ by at most radius // blocks bits in some block, so every
+item is listed under all values that near in every block. Pairs within the radius are verified by the exact weighted
+Jaccard similarity of shingles, a shingle weighing as often as it occurs. What the radius itself loses is measured by the
+tests against all windows.
 
 Defined results: null and empty texts hold nothing; an item without words is in nothing; a document shorter than an item
 is one window; rows that repeat an id and text count once; other columns are carried by ``clean_documents`` alone.
@@ -25,7 +26,7 @@ from modgraph.llm.common import given_id, join_checked, known_id, materialize
 from modgraph.llm.spans import let
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
-MOST_SHINGLES = 2_000_000
+MOST_SHINGLES, SALTS = 2_000_000, 16
 
 
 def words_of(text: Column) -> Column:
@@ -78,15 +79,41 @@ def _near(block: int, value: Column):
     return lambda m: F.struct(F.lit(block).alias("block"), value.bitwiseXOR(m).alias("value"))
 
 
-def fewest_in_place(n: Column, similarity: float) -> Column:
-    """Fewest shingles on one place of a window that reaches the similarity.
+def listed_shingles(words: str, sizes: list[int]) -> Column:
+    """An array of (pos, h, size) of all shingles of some sizes."""
+    return F.concat(
+        *(F.transform(shingles_of(words, size), _placed(size)) for size in sizes)
+    )
+
+
+def _placed(size: int):
+    return lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(size).alias("size"))
+
+
+def windows_of(words: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, key, n, start) of the item-sized windows that can resemble an item: they share a shingle with one.
 
-    Of m shingles at least 2s/(1+s) m are shared; every word put in or left out parts them into one more place and
-    costs shingles, which bounds the number of places; half of the bound leaves room for losses at the ends.
+    A shared shingle puts its item beside the text, and the window is what lies under it; every such place counts.
     """
-    m = F.greatest(n - SHINGLE + 1, F.lit(1))
-    shared = 2 * similarity / (1 + similarity)
-    return F.greatest(F.lit(1.0), 0.45 * shared * m / (1 + (1 - shared) * m / 2))
+    listed = items.select("n", F.least("n", F.lit(SHINGLE)).alias("size"), F.posexplode("t").alias("ipos", "h"))
+    listed = listed.groupBy("h", "size", "n", "ipos").agg(F.count("*").alias("c")).drop("c")
+    total, *_ = items.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+    sizes = sorted(r[0] for r in items.select(F.least("n", F.lit(SHINGLE))).distinct().collect())
+    if not sizes:
+        return words.select("doc_id", "key", F.lit(0).alias("n"), F.lit(0).alias("start")).limit(0)
+    if len(sizes) == 1:
+        told = words.select("doc_id", "key", F.posexplode(shingles_of("w", sizes[0])).alias("pos", "h"), F.lit(sizes[0]).alias("size"))
+    else:
+        told = words.select("doc_id", "key", F.explode(listed_shingles("w", sizes)).alias("s")).select("doc_id", "key", "s.*")
+    on = ["h", "size"]
+    if total <= MOST_SHINGLES:
+        listed = F.broadcast(listed)
+    else:  # a shingle of a common line meets its items in many tasks
+        told = told.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key", "pos"), F.lit(SALTS)))
+        listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        on = [*on, "salt"]
+    start = F.greatest(F.col("pos") - F.col("ipos"), F.lit(0))
+    return told.join(listed, on).select("doc_id", "key", "n", start.alias("start")).distinct()
 
 
 def contained_items(
@@ -101,26 +128,15 @@ def contained_items(
     items = benchmark.select(known_id("item_id").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = items.select("item_id", F.size("w").alias("n"), shingles_of("w", SHINGLE).alias("t"))
     items = materialize(items.select("*", simhash_of("t").alias("g")))
-    listed = items.select("item_id", "n", F.posexplode("t").alias("ipos", "h"))
-    total = items.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()[0]
-    index = F.broadcast(listed) if total <= MOST_SHINGLES else listed
-    sizes = [r[0] for r in items.select(F.least("n", F.lit(SHINGLE))).distinct().collect()]
-    words = docs.select(known_id().alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words_of(F.col("text")).alias("w"))
-    places = None
-    for size in sorted(sizes):
-        told = words.select("doc_id", "key", F.posexplode(shingles_of("w", size)).alias("pos", "h"))
-        hits = told.join(index, "h").where(F.least("n", F.lit(SHINGLE)) == size)
-        hits = hits.select("doc_id", "key", "item_id", "n", (F.col("pos") - F.col("ipos")).alias("start"))
-        places = hits if places is None else places.unionByName(hits)
-    if places is None:
-        places = words.select("doc_id", "key", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("n"), F.lit(0).alias("start")).limit(0)
-    counted = places.groupBy("doc_id", "key", "item_id", "n", "start").agg(F.count("*").alias("c"))
-    counted = counted.where(F.col("c") >= fewest_in_place(F.col("n"), similarity))
-    windows = counted.select("doc_id", "key", "n", F.greatest("start", F.lit(0)).alias("start")).distinct()
+    rows = docs.select(known_id().alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    windows = windows_of(rows.select("doc_id", "key", words_of(F.col("text")).alias("w")), items)
     windows = materialize(windows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("n", "start")).alias("at")))
-    held = join_checked(words, windows.select("doc_id", "key", "at"), ["doc_id", "key"], "inner").dropDuplicates(["doc_id", "key"])
-    cut = held.select("doc_id", "key", "w", F.explode("at").alias("a"))
-    cut = cut.select("doc_id", "key", "a.n", "a.start", F.slice("w", F.col("a.start") + 1, F.col("a.n")).alias("v"))
+    held = join_checked(rows, windows, ["doc_id", "key"], "inner").dropDuplicates(["doc_id", "key"])
+    # the words go to a block of windows at a time, and from there only the windows go on
+    blocks_of = F.transform(F.sequence(F.lit(0), F.floor((F.size("at") - 1) / 256).cast("int")), lambda b: F.slice("at", b * 256 + 1, F.lit(256)))
+    held = held.select("doc_id", "key", words_of(F.col("text")).alias("w"), F.explode(blocks_of).alias("at"))
+    piece = lambda a: F.struct(a["n"].alias("n"), a["start"].alias("start"), F.slice("w", a["start"] + 1, a["n"]).alias("v"))
+    cut = held.select("doc_id", "key", F.explode(F.transform("at", piece)).alias("a")).select("doc_id", "key", "a.*")
     cut = cut.select("doc_id", "key", "n", "start", F.size("v").alias("size"), shingles_of("v", SHINGLE).alias("s"))
     cut = materialize(cut.select("*", simhash_of("s").alias("f")))
     # the pairs are found by fingerprints alone; hashes of shingles join them afterwards

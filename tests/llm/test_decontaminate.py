@@ -75,6 +75,37 @@ def test_items_match_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_many_shingles_are_joined_with_salts(spark, monkeypatch):
+    docs, items = corpus()
+    tables = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(tuple, dc.contained_items(*tables).collect()), key=str)
+    monkeypatch.setattr(dc, "MOST_SHINGLES", 0)
+    assert sorted(map(tuple, dc.contained_items(*tables).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_recall_against_all_windows(spark, seed):
+    """Items with words put in, left out and changed all over, near the threshold; the radius may lose a tenth."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([15, 25, 40, 59])))) for i in range(40)]
+    docs = []
+    for i in range(240):
+        piece = rng.choice(items)[1].split()
+        for _ in range(rng.choice([1, 1, 2, 3, 4])):
+            at = rng.randrange(len(piece))
+            piece[at : at + rng.randint(0, 1)] = [rng.choice(vocabulary)] * rng.randint(0, 2)
+        around = [rng.choice(vocabulary) for _ in range(rng.randint(0, 80))]
+        at = rng.randint(0, len(around))
+        docs.append((i, " ".join([*around[:at], *piece, *around[at:]]), "en", "", 0))
+    want = brute(docs, items)
+    found = dc.contained_items(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert len(want) > 50 and got <= want.keys()
+    print("recall", len(got), len(want))
+    assert len(got) >= 0.9 * len(want)
+
+
 def test_clean_documents_keeps_the_others_whole(spark):
     docs, items = corpus()
     hit = {d for d, _ in brute(docs, items)}
