@@ -1,15 +1,18 @@
 """Personal data: base expressions, and bootstrapped contextual extraction, with SQL functions alone.
 
-The base expressions find seeds. Looser expressions find other strings of the same kinds (an address written with
-"(at)", a card number that runs on into another, a phone number without a country code). Every occurrence induces
-lexical patterns from the words beside it: both, the one before, the one after. Seeds and loose occurrences, by value,
-and patterns make a graph per kind, and scores go back and forth over it: a pattern scores the mean of its values, a
-value that is no seed the mean of its patterns. A pattern with enough distinct seeds and a high score is trusted, and so
-is a value that is a seed elsewhere; loose occurrences of either are added as spans. Values and patterns are counted in
-groups before they are joined, and only short strings, never texts, are shuffled.
-
-Defined results: a null text is empty; rows with equal id and text agree; an added span never overlaps a base span of
-its kind; other columns are carried by ``redact`` alone.
+The base expressions find seeds. Candidates are all other tokens that could be an identifier of any shape: those with a
+digit or an at sign, short groups of digits in a row, and addresses with a written "(at)"; nothing says of what kind they
+are. Every occurrence induces lexical patterns from the words beside it: both, the one before, the one after. Seeds and
+candidates, by value, and patterns make a graph, and scores per kind go back and forth over it: a pattern scores the mean
+of its values, of which seeds of the kind count one and seeds of other kinds nothing, and a candidate the mean of its
+patterns. A pattern with enough distinct seeds and a high score is trusted, and its candidates are found as of its kind,
+whatever their shape, if they are at least half as long as the shortest and at most twice as long as the longest seed; so
+are candidates whose value is a seed elsewhere. Of several kinds the best score decides. Values and patterns are counted
+in groups before they are joined, scores are written each round, so that a common pattern's partition can be split, and
+only short strings, never texts, are shuffled.
+
+Defined results: a null text is empty; rows with equal id and text agree; an added span never overlaps a base span;
+other columns are carried by ``redact`` alone.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import given_id, join_checked, known_id, materialize, sha256_of_spans
+from modgraph.llm.common import discard, given_id, join_checked, known_id, materialize, sha256_of_spans
 from modgraph.llm.spans import find_spans, no_spans
 
 #: Fixed values: (kind, a string that every match has, the base expression). Look-behinds and possessive quantifiers
@@ -30,16 +33,11 @@ BASE = [
     ("card", "", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])"),
     ("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]"),
 ]
-#: The looser expressions.
-LOOSE = {
-    "email": (
-        "at",
-        r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]++)++",
-    ),
-    "ip": (":", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])"),
-    "card": ("", r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9A-Za-z])"),
-    "phone": ("", r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
-}
+#: What may be an identifier: short groups of digits in a row, a token with a digit or an at sign, a written "(at)".
+CANDIDATE = (
+    r"(?<!\S)(?:[(+]?[0-9][0-9()+.-]{0,8}+(?: [(+]?[0-9][0-9()+.-]{0,8}+)++(?![^\s.,;:!?])"
+    r"|[^\s0-9@]*+[0-9@]\S*+|\S++ [\[({]at[\])}] \S++(?: [\[({]dot[\])}] \S++)*+)"
+)
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 CONTEXT = 48
 ROUNDS, MIN_SEEDS, MIN_SCORE = 3, 5, 0.9
@@ -82,85 +80,102 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(_guarded(text, needle, regex), valid(kind))
 
 
-def loose_spans(text: Column, kind: str, base: Column) -> Column:
-    """Loose matches that overlap no base span of the kind."""
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(_guarded(text, *LOOSE[kind]), apart)
+def candidate_spans(text: Column, base: Column) -> Column:
+    """Candidates without the signs around them, of which none overlaps a span of base."""
 
+    def trimmed(s: Column) -> Column:
+        left = F.length(F.regexp_extract(s["value"], r"^[^\p{L}\p{N}+(]*", 0))
+        right = F.length(F.regexp_extract(s["value"], r"[^\p{L}\p{N})]*$", 0))
+        n = F.greatest(s["end"] - s["start"] - left - right, F.lit(0))
+        return F.struct(
+            (s["start"] + left).alias("start"), (s["start"] + left + n).alias("end"), F.substring(s["value"], left + 1, n).alias("value")
+        )
+
+    apart = lambda s: (s["end"] > s["start"]) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    found = F.when(text.rlike(r"[0-9@]|[\[({]at[\])}]"), find_spans(text, CANDIDATE)).otherwise(no_spans())
+    return F.filter(F.transform(found, trimmed), apart)
 
-def beside(text: Column, kind: str, spans: Column, seed: bool) -> Column:
-    """Spans with their kind, value in normal form, and the words before and after them."""
+
+def beside(text: Column, kind: str | None, spans: Column) -> Column:
+    """Spans with their kind (null for candidates), value in normal form, and the words before and after them."""
 
     def one(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
         after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        plain = F.lower(s["value"])
-        value = F.regexp_replace(F.regexp_replace(plain, r" ?[\[({]at[\])}] ?", "@"), r" ?[\[({]dot[\])}] ?", ".") if kind == "email" else plain if kind == "ip" else digits(plain)
+        plain = F.regexp_replace(F.regexp_replace(F.lower(s["value"]), r" ?[\[({]at[\])}] ?", "@"), r" ?[\[({]dot[\])}] ?", ".")
+        value = digits(plain) if kind in ("card", "phone") else plain if kind else F.when(plain.rlike(r"[@\p{L}]"), plain).otherwise(digits(plain))
         return F.struct(
-            F.lit(kind).alias("kind"),
+            F.lit(kind).cast("string").alias("kind"),
             s["start"].alias("start"),
             s["end"].alias("end"),
             value.alias("value"),
             F.lower(F.regexp_extract(before, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)).alias("prev"),
             F.lower(F.regexp_extract(after, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1)).alias("next"),
-            F.lit(seed).alias("seed"),
+            F.lit(kind is not None).alias("seed"),
         )
 
     return F.transform(spans, one)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, found): base and loose occurrences of each row; key tells texts of one id apart."""
+    """(doc_id, key, found): base occurrences and candidates of each row; key tells texts of one id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), *(base_spans(F.col("text"), k).alias(f"b_{k}") for k, _, _ in BASE))
-    parts = []
-    for kind, _, _ in BASE:
-        own = F.col(f"b_{kind}")
-        parts += [beside(F.col("text"), kind, own, True), beside(F.col("text"), kind, loose_spans(F.col("text"), kind, own), False)]
+    parts = [beside(F.col("text"), kind, F.col(f"b_{kind}")) for kind, _, _ in BASE]
+    every = F.concat(*(F.col(f"b_{k}") for k, _, _ in BASE))
+    parts.append(beside(F.col("text"), None, candidate_spans(F.col("text"), every)))
     return rows.select(known_id().alias("doc_id"), "key", F.concat(*parts).alias("found"))
 
 
+def pattern_scores(edges: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, pattern, seeds, score) of patterns with a seed, from edges (pattern, value) and seeds known (kind, value)."""
+    known = materialize(known)
+    totals = edges.groupBy("pattern").agg(F.count("*").alias("values"))
+    sure = join_checked(edges, known, "value", "inner").groupBy("kind", "pattern").agg(F.count("*").alias("seeds"))
+    sure = materialize(sure.join(totals, "pattern"))
+    # only candidates beside a pattern that has seeds can get a score; seeds keep theirs
+    left = join_checked(edges, known.select("value").distinct(), "value", "left_anti")
+    left = materialize(left)
+    widths = materialize(left.groupBy("value").agg(F.count("*").alias("patterns")))
+    scored = materialize(sure.select("kind", "pattern", "seeds", "values", (F.col("seeds") / F.col("values")).alias("score")))
+    for _ in range(rounds):
+        by_pattern = join_checked(left, scored.select("kind", "pattern", "score"), "pattern", "inner")
+        values = by_pattern.groupBy("kind", "value").agg(F.sum("score").alias("sum")).join(widths, "value")
+        values = materialize(values.select("kind", "value", (F.col("sum") / F.col("patterns")).alias("value_score")))
+        more = join_checked(left, values, "value", "inner").groupBy("kind", "pattern").agg(F.sum("value_score").alias("more"))
+        score = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("values")
+        before, scored = scored, materialize(sure.join(more, ["kind", "pattern"], "left").select("kind", "pattern", "seeds", "values", score.alias("score")))
+        discard(before, values)
+    discard(left, widths, sure, known)
+    return scored.drop("values")
+
+
 def discovered(rows: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """(doc_id, key, kind, start, end) of loose occurrences that trusted patterns or known values bring in."""
+    """(doc_id, key, kind, start, end) of candidates that trusted patterns or known values bring in."""
     told = rows.where(F.size("found") > 0).select("doc_id", "key", F.explode("found").alias("o")).select("doc_id", "key", "o.*")
-    patterns = F.array(
-        F.when((F.col("prev") != "") & (F.col("next") != ""), F.concat_ws(" ", "prev", F.lit("_"), "next")),
-        F.when(F.col("prev") != "", F.concat_ws(" ", "prev", F.lit("_"))),
-        F.when(F.col("next") != "", F.concat_ws(" ", F.lit("_"), "next")),
-    )
-    graph = materialize(
-        told.select("kind", "value", "seed", F.explode(F.array_compact(patterns)).alias("pattern"))
-        .groupBy("kind", "pattern", "value")
-        .agg(F.max("seed").alias("seed"))
-    )
-    # a value's score: 1 for seeds, at first 0 for others; seeds never change, so only the others are carried
-    known = materialize(told.where("seed").select("kind", "value").distinct())
-    open_edges = graph.where("not seed").join(known, ["kind", "value"], "left_anti").select("kind", "pattern", "value")
-    sure = materialize(
-        graph.join(known.withColumn("is_known", F.lit(True)), ["kind", "value"], "left")
-        .groupBy("kind", "pattern")
-        .agg(F.sum(F.when(F.col("is_known"), 1).otherwise(0)).alias("seeds"), F.count("*").alias("values"))
+    patterns = F.array_compact(
+        F.array(
+            F.when((F.col("prev") != "") & (F.col("next") != ""), F.concat_ws(" ", "prev", F.lit("_"), "next")),
+            F.when(F.col("prev") != "", F.concat_ws(" ", "prev", F.lit("_"))),
+            F.when(F.col("next") != "", F.concat_ws(" ", F.lit("_"), "next")),
+        )
     )
-    open_edges = materialize(open_edges)
-    scores = None
-    for _ in range(rounds):
-        pattern = sure
-        if scores is None:
-            pattern = pattern.withColumn("score", F.col("seeds") / F.col("values"))
-        else:
-            more = open_edges.join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("value_score").alias("more"))
-            pattern = pattern.join(more, ["kind", "pattern"], "left").withColumn(
-                "score", (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("values")
-            )
-        scores = open_edges.join(pattern, ["kind", "pattern"]).groupBy("kind", "value").agg(F.avg("score").alias("value_score"))
-        pattern, scores = pattern.select("kind", "pattern", "seeds", "score"), materialize(scores)
-    trusted = materialize(pattern.where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score)).select("kind", "pattern"))
-    loose = told.where("not seed").select("doc_id", "key", "kind", "start", "end", "value", F.array_compact(patterns).alias("patterns"))
-    by_pattern = loose.select("doc_id", "key", "kind", "start", "end", F.explode("patterns").alias("pattern"))
-    found = by_pattern.join(trusted, ["kind", "pattern"], "left_semi").select("doc_id", "key", "kind", "start", "end")
-    found = found.unionByName(loose.join(known, ["kind", "value"], "left_semi").select("doc_id", "key", "kind", "start", "end"))
-    return found.distinct()
+    edges = materialize(told.select("value", F.explode(patterns).alias("pattern")).distinct())
+    seeds = told.where("seed")
+    known = materialize(seeds.select("kind", "value").distinct())
+    scored = pattern_scores(edges, known, rounds)
+    trusted = materialize(scored.where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score)).select("kind", "pattern", "score"))
+    n = F.col("end") - F.col("start")
+    lengths = materialize(seeds.groupBy("kind").agg(F.min(n).alias("shortest"), F.max(n).alias("longest")))  # a row per kind
+    open_rows = told.where("not seed").select("doc_id", "key", "start", "end", "value", patterns.alias("patterns"))
+    by_pattern = open_rows.select("doc_id", "key", "start", "end", F.explode("patterns").alias("pattern"))
+    found = join_checked(by_pattern, trusted, "pattern", "inner").join(F.broadcast(lengths), "kind")
+    found = found.where((2 * n >= F.col("shortest")) & (n <= 2 * F.col("longest"))).select("doc_id", "key", "start", "end", "kind", "score")
+    again = join_checked(open_rows, known, "value", "inner").select("doc_id", "key", "start", "end", "kind", F.lit(1.0).alias("score"))
+    rank = F.array_position(F.array(*(F.lit(k) for k, _, _ in BASE)), F.col("kind"))
+    best = F.max_by("kind", F.struct("score", -rank)).alias("kind")
+    return found.unionByName(again).groupBy("doc_id", "key", "start", "end").agg(best).select("doc_id", "key", "kind", "start", "end")
 
 
 def _with_discovered(rows: DataFrame) -> DataFrame:

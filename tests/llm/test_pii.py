@@ -69,6 +69,38 @@ def test_patterns_of_seeds_bring_in_unseen_identifiers(spark):
     assert start is None or f"card:{start}:{start + 16}" in got[102]
 
 
+def test_precision_and_recall_on_unseen_shapes(spark):
+    """Identifiers of shapes that no expression knows, in the contexts of seeds, among numbers in other contexts."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    ways = {
+        "phone": ("ring me on", "please", lambda: f"+1 ({digit(3)}) {digit(3)}-{digit(4)}", [lambda: f"({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"0{digit(3)}/{digit(7)}", lambda: f"{digit(3)} {digit(2)} {digit(2)} {digit(3)}"]),
+        "email": ("write to", "soon", lambda: f"{rng.choice(words)}@{rng.choice(words)}.org", [lambda: f"{rng.choice(words)} (at) {rng.choice(words)} (dot) org", lambda: f"{rng.choice(words)}@{rng.choice(words)}", lambda: f"{rng.choice(words)}{digit(2)}#1"]),
+        "card": ("charge card", "today", lambda: luhn_card(rng), [lambda: "4" + digit(11), lambda: f"X{digit(3)}-{digit(4)}-{digit(4)}", lambda: f"{digit(4)}.{digit(4)}.{digit(4)}.{digit(4)}x"]),
+        "ip": ("host", "answered", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), [lambda: f"fe80::{digit(4)}:1", lambda: f"10-20-{digit(2)}-7"]),
+    }
+    decoys = [("page", "of", 3), ("costs", "euro", 6), ("since", "was", 4), ("item", "arrived", 9), ("charge", "people", 8), ("write", "pages", 5)]
+    fill = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(3, 12)))
+    rows, want = [], set()
+    for kind, (before, after, seed, others) in ways.items():
+        for n in range(90):
+            value = rng.choice(others)() if n % 3 == 0 else seed()
+            start = f"{fill()} {before} "
+            i = len(rows)
+            rows.append((i, f"{start}{value} {after} {fill()}", "en", 0, 1, "r"))
+            if n % 3 == 0:
+                want.add((i, f"{kind}:{len(start)}:{len(start) + len(value)}"))
+    for before, after, n in decoys * 30:
+        rows.append((len(rows), f"{fill()} {before} {digit(n)} {after} {fill()}", "en", 0, 1, "r"))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    base = {i: {f"{k}:{s}:{e}" for k, s, e in brute_base(t)} for i, t, *_ in rows}
+    got = {(r.doc_id, x) for r in pii.report(docs).collect() for x in r.spans.split(",") if x and x not in base[r.doc_id]}
+    want = {w for w in want if w[1] not in base[w[0]]}
+    assert len(want & got) >= 0.95 * len(want), sorted(want - got)[:5]
+    assert len(want & got) >= 0.95 * len(got), sorted(got - want)[:5]
+
+
 def test_redact_masks_spans_and_keeps_other_columns(spark):
     rows = [(1, "mail a@b.c or +1 (743) 555-3824!", "en", 33, 9, "x"), (2, None, None, None, None, None), (3, "plain é", "fr", 7, 1, "y"), (3, "plain é", "fr", 7, 1, "y"), (None, "no id", None, 5, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
