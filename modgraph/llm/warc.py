@@ -2,7 +2,10 @@
 
 Every record is one gzip member. The writer names, of rows with equal payloads of at least ``revisit_from`` bytes, the
 one with the smallest page_id the response; the others become revisit records that refer to it and hold its HTTP
-headers alone. Only digests and ids are shuffled to find them. Tasks write archives of bounded size to the shared folder
+headers alone. Only digests and ids are shuffled to find them; pages themselves are shuffled by digest only where more
+digests repeat than may be broadcast. A record's id follows from its page_id and payload, so a revisit can name the
+response; rows without a page_id, or that repeat one with its payload, take an id of their archive and place, and nothing
+refers to them by it. Tasks write archives of bounded size to the shared folder
 under fresh names, and only the names that finished tasks report are read, so a lost or repeated task leaves no trace.
 The reader goes through an archive from the start with incremental decompression, frames each record by its
 content length and verifies block and payload digests; it holds one record at a time.
@@ -25,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import Batches, Mapper, join_checked, materialize, shared_dir, text_bytes
+from modgraph.llm.common import Batches, Mapper, discard, join_checked, materialize, shared_dir, text_bytes
 
 ARCHIVE_BYTES, CHUNK = 64 << 20, 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,21 +37,21 @@ RECORD_TYPE = (
 )
 
 
-def record_id(page_id: int) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}').urn}>"
+def record_id(page_id: int, digest: str) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id} {digest}').urn}>"
 
 
-def make_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One record, uncompressed."""
+def make_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str, own: str | None = None, named: bool = True) -> bytes:
+    """One record, uncompressed; own: its id where that is not of its page; named: whether the response has such an id."""
     digest = hashlib.sha256(payload).hexdigest()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None:
         block += payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own or record_id(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", *([f"WARC-Refers-To: {record_id(refers_to, digest)}"] if named else []), f"X-Refers-To-Page: {refers_to}"]
     head += [
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
@@ -100,7 +103,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def write_archives(folder: str, date: str) -> Mapper:
-    """Over rows (page_id, url, html, refers_to): archives in the folder; rows (path, records, bytes)."""
+    """Over rows (page_id, url, html, refers_to, named, again): archives in the folder; rows (path, records, bytes)."""
 
     def write(batches: Batches) -> Batches:
         files, root = pafs.FileSystem.from_uri(folder)
@@ -113,12 +116,13 @@ def write_archives(folder: str, date: str) -> Mapper:
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [records], "bytes": [size]})
 
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist())
-            for page, url, html, refers in rows:
+            plain = [batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "named", "again")]
+            for html, page, url, refers, named, again in zip(text_bytes(batch.column("html")), *plain):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = files.open_output_stream(f"{root}/.{name}", compression=None)
-                member = gzip_member(make_record(page, url, html or b"", refers, date))
+                own = f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'{name} {records}').urn}>" if page is None or again else None
+                member = gzip_member(make_record(page, url, html or b"", refers, date, own, named))
                 out.write(member)
                 records, size = records + 1, size + len(member)
                 if size >= ARCHIVE_BYTES:
@@ -160,10 +164,16 @@ def write_pages(pages: DataFrame, folder: str | None = None, revisit_from: int =
     folder = folder or shared_dir(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    alike = rows.where(F.octet_length("html") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = materialize(alike.where("n > 1").select("digest", "first"))
+    counted = materialize(rows.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.max(F.octet_length("html")).alias("size")))
+    alike = counted.where((F.col("size") >= revisit_from) & F.col("page_id").isNotNull()).groupBy("digest")
+    alike = alike.agg(F.min(F.struct("page_id", "n")).alias("first"), F.sum("n").alias("all"))
+    firsts = materialize(alike.where("all > 1").select("digest", F.col("first.page_id").alias("first"), (F.col("first.n") == 1).alias("named")))
+    repeated = materialize(counted.where("n > 1 and page_id is not null").select("digest", "page_id", F.lit(True).alias("again")))
     refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    named = join_checked(rows, firsts, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    named = join_checked(join_checked(rows, firsts, "digest", "left"), repeated, ["digest", "page_id"], "left")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("named", "again")]
+    named = named.select("page_id", "url", "html", refers.alias("refers_to"), *flags)
+    discard(counted)
     return materialize(named.mapInArrow(write_archives(folder, date), "path string, records bigint, bytes bigint"))
 
 

@@ -73,3 +73,20 @@ def test_damage_is_found():
 
 def test_empty_table(spark):
     assert warc.read_pages(warc.write_pages(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_record_ids_are_unique_and_revisits_name_a_response(spark, tmp_path):
+    warc.write_pages(spark.createDataFrame(pages(), SCHEMA).repartition(3), f"file://{tmp_path}").collect()
+    ids, referred = {}, []
+    for path in tmp_path.glob("*.warc.gz"):
+        with open(path, "rb") as stream:
+            for record in warc.members(stream):
+                headers, _, _ = warc.parse_record(record)
+                assert headers["warc-record-id"] not in ids
+                ids[headers["warc-record-id"]] = headers
+                if "warc-refers-to" in headers:
+                    referred.append(headers)
+    assert len(ids) == len(pages()) and len(referred) > 20
+    for h in referred:
+        to = ids[h["warc-refers-to"]]
+        assert to["warc-type"] == "response" and to["x-page"] == h["x-refers-to-page"] and to["warc-payload-digest"] == h["warc-payload-digest"]
