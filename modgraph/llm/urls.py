@@ -3,9 +3,10 @@
 A pattern rule is written like an ad blocker's: ``||name`` starts at a host label, ``^`` is a separator or the end, ``*``
 is anything, ``@@`` in front makes an exception. Each rule becomes one regular expression and a list of mandatory
 literal tokens (runs of letters and digits that separators delimit in the rule, hence in any URL that fits). Tokens are
-counted over all URLs; each rule is indexed under its rarest token. A URL's tokens fetch its candidate rules by a hash
-join against that index, which is broadcast after a check of its size, and only candidates run their expressions.
-Rules without a mandatory token are candidates everywhere.
+counted over all URLs; each rule is indexed under its rarest token. A URL's tokens, of which only those that some rule
+has are kept, fetch its candidate rules by a join with that index, broadcast after a check of its size and shuffled
+beyond it, and only candidates run their expressions. Rules without a mandatory token are candidates everywhere, in one
+pass for all of them.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no host rule and is allowed;
 a url's verdict depends on the url alone, so repeated rows agree; other columns are not read.
@@ -14,6 +15,7 @@ a url's verdict depends on the url alone, so repeated rows agree; other columns
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +49,6 @@ PATTERN_RULES = [
     "/calendar/*?month=",
     "@@||casino.example.org^",
 ]
-MOST_RULES = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,27 +99,28 @@ def url_tokens(url: Column) -> Column:
 
 def pattern_hits(urls: DataFrame, patterns: list[str]) -> DataFrame:
     """(url, excepted) of the urls that a pattern rule fits."""
-    if len(patterns) > MOST_RULES:
-        raise ValueError("too many pattern rules for a broadcast index")
     spark = urls.sparkSession
-    told = urls.where("url is not null").select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
+    low = F.translate("url", UPPER, LOWER)
+    known = urls.where("url is not null")
     vocabulary = sorted({t for p in patterns for t in pattern_tokens(p)})
     words = spark.createDataFrame([(t,) for t in vocabulary], "token string")
-    counts = dict(told.join(F.broadcast(words), "token").groupBy("token").count().collect())
-    index, everywhere = [], []
+    told = known.select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
+    told = materialize(join_checked(told, words, "token", "inner"))  # the urls' tokens that some rule has
+    counts = dict(told.groupBy("token").count().collect())  # at most as many as the rules' tokens
+    index, everywhere = [], {False: [], True: []}
     for p in patterns:
         tokens = pattern_tokens(p)
-        row = (pattern_regex(p), p.startswith("@@"))
         if tokens:
-            index.append((min(tokens, key=lambda t: (counts.get(t, 0), t)), *row))
+            index.append((min(tokens, key=lambda t: (counts.get(t, 0), t)), pattern_regex(p), p.startswith("@@")))
         else:
-            everywhere.append(row)
+            everywhere[p.startswith("@@")].append(pattern_regex(p))
     rules = spark.createDataFrame(index, "token string, regex string, excepted boolean")
     fits = F.expr(f"translate(url, '{UPPER}', '{LOWER}') rlike regex")
-    hits = told.join(F.broadcast(rules), "token").where(fits).select("url", "excepted")
-    for regex, excepted in everywhere:
-        more = urls.where(F.translate("url", UPPER, LOWER).rlike(regex)).select("url", F.lit(excepted).alias("excepted"))
-        hits = hits.unionByName(more)
+    hits = join_checked(told, rules, "token", "inner").where(fits).select("url", "excepted")
+    if any(everywhere.values()):  # one pass for all rules without a token
+        any_of = {k: reduce(Column.__or__, (low.rlike(x) for x in v), F.lit(False)) for k, v in everywhere.items()}
+        both = F.array_compact(F.array(*(F.when(test, F.lit(k)) for k, test in any_of.items())))
+        hits = hits.unionByName(known.select("url", F.explode(both).alias("excepted")))
     return hits.groupBy("url").agg(F.max("excepted").alias("excepted"))
 
 

@@ -93,7 +93,7 @@ def test_many_candidates_are_joined(spark, monkeypatch):
     rows = [(i, t, 1, "k") for i, t in enumerate(texts())] + [(900 + i, "token = abcdefg", 1, "k") for i in range(200)]
     docs = spark.createDataFrame(rows, SCHEMA)
     want = sorted(map(tuple, ss.report(docs).collect()), key=str)
-    monkeypatch.setattr(common.small_enough, "__defaults__", (0,))
+    monkeypatch.setattr(common.small_enough, "__defaults__", (0, 0))
     assert sorted(map(tuple, ss.report(docs).collect()), key=str) == want
 
 

@@ -77,3 +77,15 @@ def test_rules_without_tokens_see_every_url(spark):
 
 def test_empty_table(spark):
     assert urls.judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    from modgraph.llm import common
+
+    pages = spark.createDataFrame([(i, f"http://a{i % 50}.example.com/x{i}/t{i}/", 0) for i in range(200)] + [(900, None, 0)], "page_id bigint, url string, token int")
+    patterns = [f"||a{i}.example." for i in range(0, 50, 2)] + [f"/t{i}/" for i in range(1, 200, 3)] + ["@@/x4*", "x19", "@@x199"]
+    want = {r.page_id: r.verdict for r in urls.judge_urls(pages, [], patterns).collect()}
+    brute = lambda u: any(re.search(urls.pattern_regex(p), u) for p in patterns if p[:2] != "@@") and not any(re.search(urls.pattern_regex(p), u) for p in patterns if p[:2] == "@@")
+    assert want == {i: "block" if brute(f"http://a{i % 50}.example.com/x{i}/t{i}/") else "allow" for i in range(200)} | {900: "allow"}
+    monkeypatch.setattr(common.small_enough, "__defaults__", (0, 0))
+    assert {r.page_id: r.verdict for r in urls.judge_urls(pages, [], patterns).collect()} == want
