@@ -238,6 +238,6 @@ def quality_report(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta
 def keep_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The documents that are kept, with all their columns; texts are counted twice rather than shuffled."""
     policy = calibrate(measured(docs), labels, risk, delta)
-    counted = docs.withColumn("_quality", F.struct(F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), text_counts("text").alias("c")))
-    flat = counted.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "_quality.stratum", "_quality.c.*")
-    return judged(flat, policy).where("kept").select("_row.*")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    counted = docs.select(row, F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), text_counts("text").alias("_counts"))
+    return judged(counted.select("_row", "stratum", "_counts.*"), policy).where("kept").select("_row.*")

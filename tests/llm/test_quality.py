@@ -94,3 +94,12 @@ def test_empty_tables(spark):
     docs, known = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality.quality_report(docs, known).count() == 0
     assert quality.keep_quality(docs, known).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, text + str(i), "en", i, "c", 7, 1, "b") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _quality int, stratum string, n_words int, _counts int, kept string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    got = quality.keep_quality(docs, labels)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == rows
