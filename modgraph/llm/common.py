@@ -127,15 +127,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("low")))  # read back: a hub's links can be split
         large = (
-            both.join(low, "a")
+            join_checked(both, low, "a", "inner")
             .where("b > a")
             .select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
             .distinct()
         )
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(
+        large = materialize(large)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("low")))
+        small = join_checked(large, least, "a", "inner").select(
             F.explode(
                 F.array(
                     F.struct(F.col("a").alias("a"), F.col("low").alias("b")),
@@ -143,7 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
                 )
             ).alias("e")
         )
-        links = materialize(small.select("e.*").where("a != b").distinct())
+        before, links = links, materialize(small.select("e.*").where("a != b").distinct())
+        discard(before, low, large, least)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
