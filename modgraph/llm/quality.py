@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import each_text, materialize
+from modgraph.llm.common import each_text, join_checked, materialize
 
 COUNTS = (
     "n_words",
@@ -172,19 +173,20 @@ def _first_rule(policy: dict[str, list[tuple[str, float]]], stratum: Column) ->
     return F.lit(None).cast("int") if out is None else out
 
 
-def calibrate(
-    features: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, most_strata: int = 500
-) -> dict[str, list[tuple[str, float]]]:
+Policy = dict[str, list[tuple[str, float]]]
+#: Policies of many strata, as a table.
+POLICY = "stratum string, rules array<struct<rule:string,cut:double>>"
+
+
+def calibrate(features: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, most_strata: int = 500) -> Policy | DataFrame:
     """Certified rules per stratum from features (doc_id, stratum, COUNTS) and labels (doc_id, quality).
 
-    What reaches the driver is counts per stratum, rule and ladder step. A stratum is a declared, low-cardinality
-    column: of more than ``most_strata`` values with labels, ValueError.
+    What reaches the driver is counts per stratum, rule and ladder step. Of more than ``most_strata`` strata with labels
+    nothing does: each stratum's counts are judged in a group of their own and the policy is a table, with the same rules.
     """
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     labelled = features.where(~base_failed()).join(known, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     labelled = materialize(labelled)
-    if labelled.select("stratum").distinct().limit(most_strata + 1).count() > most_strata:
-        raise ValueError("the stratum column has too many values")
     steps = F.array(
         *(
             F.struct(
@@ -194,22 +196,42 @@ def calibrate(
             for rule, rate in rates().items()
         )
     )
-    seen = (
-        labelled.where("half = 0")
-        .select("stratum", "quality", F.explode(steps).alias("s"))
-        .groupBy("stratum", "s.rule", "quality", "s.step")
-        .count()
-        .collect()
-    )
-    proposals = propose({(r[0], r[1], r[2], r[3]): r[4] for r in seen}, risk)
-    held = (
-        labelled.where("half = 1 and quality = 1")
-        .groupBy("stratum", _first_rule(proposals, F.col("stratum")).alias("place"))
-        .count()
-        .where("place is not null")
-        .collect()
-    )
-    return certify(proposals, {(r[0], r[1]): r[2] for r in held}, risk, delta)
+    seen = labelled.where("half = 0").select("stratum", "quality", F.explode(steps).alias("s"))
+    seen = seen.groupBy("stratum", "s.rule", "quality", "s.step").agg(F.count("*").alias("c"))
+    good = labelled.where("half = 1 and quality = 1")
+    if labelled.select("stratum").distinct().limit(most_strata + 1).count() > most_strata:
+        return _calibrate_many(seen, good, risk, delta)
+    proposals = propose({(r.stratum, r.rule, r.quality, r.step): r.c for r in seen.collect()}, risk)
+    held = good.groupBy("stratum", _first_rule(proposals, F.col("stratum")).alias("place")).count().where("place is not null")
+    return certify(proposals, {(r[0], r[1]): r[2] for r in held.collect()}, risk, delta)
+
+
+def _calibrate_many(seen: DataFrame, good: DataFrame, risk: float, delta: float) -> DataFrame:
+    """The policy (POLICY) of strata that are too many for the driver."""
+
+    def proposed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        counts = {(key[0], r.rule, r.quality, r.step): r.c for r in rows.itertuples()}
+        rules = propose(counts, risk)[key[0]]
+        return pd.DataFrame({"stratum": [key[0]], "rules": [[{"rule": r, "cut": c} for r, c in rules]]})
+
+    proposals = materialize(seen.groupBy("stratum").applyInPandas(proposed, POLICY))
+    strata = proposals.count()
+
+    def certified(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rules = [(r["rule"], r["cut"]) for r in rows["rules"].iloc[0]]
+        held = {(key[0], int(p)): int(c) for p, c in zip(rows["place"], rows["c"])}
+        kept = certify({key[0]: rules}, held, risk, delta / strata)[key[0]]
+        return pd.DataFrame({"stratum": [key[0]], "rules": [[{"rule": r, "cut": c} for r, c in kept]]})
+
+    at = F.array_position(F.transform("rules", _exceeds()), True)
+    place = F.when(at > 0, at - 1).otherwise(F.size("rules")).alias("place")
+    held = join_checked(good, proposals, "stratum", "inner").groupBy("stratum", "rules", place).agg(F.count("*").alias("c"))
+    return materialize(held.groupBy("stratum").applyInPandas(certified, POLICY))
+
+
+def _exceeds():
+    rate = F.create_map(*(x for name, r in rates().items() for x in (F.lit(name), r)))
+    return lambda rule: F.element_at(rate, rule["rule"]) > rule["cut"]
 
 
 def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -219,8 +241,13 @@ def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     ).select("doc_id", "stratum", "c.*")
 
 
-def judged(features: DataFrame, policy: dict[str, list[tuple[str, float]]]) -> DataFrame:
+def judged(features: DataFrame, policy: Policy | DataFrame) -> DataFrame:
     """features with base_failed and kept."""
+    if isinstance(policy, DataFrame):
+        rows = join_checked(features, policy.withColumnRenamed("rules", "_rules"), "stratum", "left")
+        turned = F.coalesce(F.exists("_rules", _exceeds()), F.lit(False))
+        rows = rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~turned)
+        return rows.select(*features.columns, "base_failed", "kept")
     rate, turned = rates(), F.lit(False)
     for name, rules in sorted(policy.items()):
         if rules:

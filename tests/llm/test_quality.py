@@ -103,3 +103,14 @@ def test_columns_of_any_name_stay(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     got = quality.keep_quality(docs, labels)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == rows
+
+
+def test_many_strata_give_the_same_rules(spark):
+    rows, labels = corpus()
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    features = quality.measured(docs).cache()
+    few, many = quality.calibrate(features, known), quality.calibrate(features, known, most_strata=1)
+    assert {s: r for s, r in few.items() if r} == {r.stratum: [(x.rule, x.cut) for x in r.rules] for r in many.collect() if r.rules}
+    assert any(few.values())
+    got = [sorted(map(tuple, quality.judged(features, p).collect()), key=str) for p in (few, many)]
+    assert got[0] == got[1]
