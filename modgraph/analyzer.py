@@ -26,6 +26,15 @@ class Graph:
     edges: DataFrame
     modules: DataFrame
 
+    def edge_count(self) -> int:
+        return self.edges.count()
+
+    def module_count(self) -> int:
+        return self.modules.count()
+
+    def is_empty(self) -> bool:
+        return self.edges.isEmpty()
+
 
 class Analyzer:
     def __init__(self, spark: SparkSession, root: str | Crate):

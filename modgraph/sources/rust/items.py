@@ -334,11 +334,78 @@ class _Body:
                 at += 3
             elif token.text == "pub":
                 _, at = self.visibility(tokens, at)
+            elif token.text == "let":
+                end = self.pattern_end(tokens, at + 1)
+                self.pattern(tokens[at + 1 : end])
+                at = end
+            elif token.text == "for" and item != "impl" and (end := self.loop_start(tokens, at + 1)):
+                self.pattern(tokens[at + 1 : end])
+                at = end + 1
+            elif token.text == "match" and (body := next((i for i in range(at + 1, len(tokens)) if is_group(tokens, i, "{")), 0)):
+                self.code(tokens[at + 1 : body])
+                self.arms(tokens[body].body)
+                at = body + 1
             elif token.text in KEYWORDS:
                 at += 1
             else:
                 at = self.path(tokens, at)
 
+    # ---- patterns: a bare name in one is bound, not used
+
+    def pattern_end(self, tokens: list, at: int) -> int:
+        """The place of the type, the value or the end that follows a ``let`` pattern."""
+        while at < len(tokens):
+            if is_sep(tokens, at):
+                at += 2
+                continue
+            if is_sign(tokens, at, ":") or is_sign(tokens, at, ";") or is_sign(tokens, at, "=") and not is_sign(tokens, at - 1, "."):
+                return at
+            at += 1
+        return at
+
+    def loop_start(self, tokens: list, at: int) -> int:
+        """The place of the ``in`` of a loop, or 0 where ``for`` begins none."""
+        while at < len(tokens) and not is_group(tokens, at, "{") and not is_sign(tokens, at, ";"):
+            if is_name(tokens, at, "in"):
+                return at
+            at += 1
+        return 0
+
+    def arms(self, tokens: list) -> None:
+        """The arms of a match: a pattern, perhaps a condition, and a value each."""
+        at = 0
+        while at < len(tokens):
+            while is_sign(tokens, at, "#") and is_group(tokens, at + 1, "["):
+                self.attributes([tokens[at + 1].body])
+                at += 2
+            arrow = at
+            while arrow < len(tokens) and not (is_sign(tokens, arrow, "=") and tokens[arrow].joint and is_sign(tokens, arrow + 1, ">")):
+                arrow += 1
+            condition = next((i for i in range(at, arrow) if is_name(tokens, i, "if")), arrow)
+            self.pattern(tokens[at:condition])
+            self.code(tokens[condition:arrow])
+            at = end = arrow + 2
+            if is_group(tokens, at, "{") and not is_sign(tokens, at + 1, ".") and not is_sign(tokens, at + 1, "?"):
+                end = at + 1
+            else:
+                while end < len(tokens) and not is_sign(tokens, end, ","):
+                    end += 1
+            self.code(tokens[at:end])
+            at = end + is_sign(tokens, end, ",")
+
+    def pattern(self, tokens: list) -> None:
+        at = 0
+        while at < len(tokens):
+            if tokens[at].kind == "g":
+                self.pattern(tokens[at].body)
+                at += 1
+            elif tokens[at].kind != "i" or tokens[at].text in KEYWORDS:
+                at += 1
+            elif is_sep(tokens, at + 1) or is_group(tokens, at + 1, "({") or is_sign(tokens, at + 1, "!"):
+                at = self.path(tokens, at)
+            else:
+                at += 1
+
     def path(self, tokens: list, at: int) -> int:
         start, names = at, [tokens[at].text]
         at += 1

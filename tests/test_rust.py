@@ -276,3 +276,24 @@ def test_links_out_of_the_crate(spark, tmp_path):
     (tmp_path / "c/src/a.rs").symlink_to(tmp_path / "out.rs")
     with pytest.raises(CrateInfoError, match="Resolved path escapes crate root"):
         Analyzer(spark, str(tmp_path / "c")).list_modules("a")
+
+
+def test_names_bound_in_patterns_are_no_references():
+    text = """fn f(x: T) -> U {
+        let util = 1; let (util, model): (crate::a::A, u8) = g(util::two); if let Some(util) = x {} while let crate::b::B(util, ..) = x {}
+        for (util, crate::c::C { model, .. }) in crate::d::all() { util::three(); }
+        match x { util => one(), Some(util) | crate::e::E { util, model: None } if util::ok() => { four::five }, util @ 1..=crate::h::MAX => model,
+            #[with(util::six)] util::K => model::seven(|util| util), Wrap(util) => Wrap(model), _ => util!(eight::nine) }
+    }
+    impl crate::i::I for crate::j::J { fn g<F>(f: F) where F: for<'a> crate::k::K<'a> {} }"""
+    got = {"::".join(r.segments) for r in parse_file(text)[0].references}
+    assert {"a::A", "b::B", "c::C", "d::all", "e::E", "h::MAX", "i::I", "j::J", "k::K", "util::two", "util::three", "util::ok", "four::five", "util::six", "util::K", "model::seven", "eight::nine"} <= got
+    assert "Wrap" in got and "Some" in got
+    # ``model`` stands alone as the value of an arm and in a call, ``util`` as the condition's and the loop's path alone and in a closure
+    alone = [r.segments[0] for r in parse_file(text)[0].references if len(r.segments) == 1 and r.kind == "path"]
+    assert alone.count("model") == 2 and "K" not in alone and "MAX" not in alone
+
+
+def test_counts_of_a_graph(crate):
+    found = crate.graph()
+    assert found.edge_count() == len(edges(found)) and found.module_count() == found.modules.count() and not found.is_empty()
