@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,6 +207,7 @@ def calibrate(features: DataFrame, labels: DataFrame, risk: float = 0.05, delta:
 
 def _calibrate_many(seen: DataFrame, good: DataFrame, risk: float, delta: float) -> DataFrame:
     """The policy (POLICY) of strata that are too many for the driver."""
+    import pandas as pd  # other workers do without it
 
     def proposed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         counts = {(key[0], r.rule, r.quality, r.step): r.c for r in rows.itertuples()}
