@@ -30,11 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modgraph.llm.common import NO_ID, Batches, Mapper, components, each_text, join_checked, known_id, materialize, runs, span, text_bytes
+from modgraph.llm.common import NO_ID, Batches, Mapper, components, discard, each_text, join_checked, known_id, materialize, release_memory, runs, span, text_bytes
 
 SEED = 42
 #: Largest radius for tiles by sliced population counts; beyond it too many tiles are neighbours.
 SLICED_RADIUS = 3
+#: Near copies of at most so many bits come together before they meet by shingles.
+TIGHT_RADIUS = 2
 EDGE_TYPE = "a bigint, b bigint"
 
 
@@ -262,6 +264,7 @@ def verify_tiles(similarity: float) -> Mapper:
                 if len(a):
                     x, y = span(rep[lo + a], rep[lo + b])
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+        release_memory()
 
     return verify
 
@@ -301,6 +304,7 @@ def shingle_sets(words: int) -> Mapper:
                     [part.column("rep"), part.column("root"), part.column("size"), pa.array(found, pa.binary())], ["rep", "root", "size", "hashes"]
                 )
                 yield out.filter(kept)
+        release_memory()
 
     return sets
 
@@ -310,6 +314,9 @@ def shingle_sets(words: int) -> Mapper:
 #: Texts whose shingles tell which are common, and the most common shingles told; both only set an order.
 ORDER_TEXTS = 20_000
 ORDER_SHINGLES = 200_000
+RARE_NAMES = ["token", "id", "part", "fp", "more", "n", "place"]
+#: Tiles of at most SMALL_TILE rows are compared pair by pair, many at once; a shingle's tile has about HOT_TILE rows at most.
+SMALL_TILE, HOT_TILE = 32, 20_000
 
 
 def least_shared(size: int, similarity: float) -> int:
@@ -326,12 +333,13 @@ def sampled_shingles(words: int) -> Mapper:
             for at, text in enumerate(each_text(batch.column("text"))):
                 found = np.unique(shingle_hashes(text, words)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), parts[at]))], ["token", "part"])
+        release_memory()
 
     return shingles
 
 
 def rare_shingles(words: int, similarity: float, common: np.ndarray, often: np.ndarray) -> Mapper:
-    """Over rows (node, part, text): the first shingles of each text in one order of all shingles, rare ones first.
+    """Over rows (node, part, fp, more, text): the first shingles of each text in one order of all shingles, rare ones first.
 
     Texts of the similarity share one of them, whatever the order is: of n shingles, all but the least shared number
     less one are given. ``place`` is the shingle's place in the order.
@@ -339,7 +347,7 @@ def rare_shingles(words: int, similarity: float, common: np.ndarray, often: np.n
 
     def rare(batches: Batches) -> Batches:
         for batch in batches:
-            ids, parts = batch.column("node").to_numpy(), batch.column("part").to_numpy()
+            told = [batch.column(c).to_numpy() for c in ("node", "part", "fp", "more")]
             for at in range(0, batch.num_rows, 500):
                 rows = []
                 for i, text in enumerate(text_bytes(batch.column("text").slice(at, 500)), at):
@@ -351,43 +359,151 @@ def rare_shingles(words: int, similarity: float, common: np.ndarray, often: np.n
                         where = np.minimum(np.searchsorted(common, h), len(common) - 1)
                         h = h[np.lexsort((h, np.where(common[where] == h, often[where], 0)))]
                     n = np.full(first, len(h), np.int32)
-                    rows.append((h[:first], np.full(first, ids[i]), np.full(first, parts[i]), n, np.arange(first, dtype=np.int32)))
+                    rows.append((h[:first], *(np.full(first, c[i]) for c in told), n, np.arange(first, dtype=np.int32)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["token", "id", "part", "n", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], RARE_NAMES)
+        release_memory()
 
     return rare
 
 
-def meeting_pairs(similarity: float) -> Mapper:
-    """Over rows of rare_shingles sorted by token: pairs of different parts that may have the similarity.
+def forest(tile: Tile, part: np.ndarray, radius: int, wide_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning links (places) between the parts of a tile by fingerprints, and the component of each row.
 
-    From the first shingle that a pair shares on, the shorter rest of the two bounds what the pair shares; pairs that
-    fall short at every shingle they meet at are none.
+    One open row after the other is compared with the whole tile; what is near to it needs no comparison of its own, so a
+    tile of near copies takes few passes, not one a row.
+    """
+    open_rows = np.ones(len(part), bool)
+    _, first, of = np.unique(part, return_index=True, return_inverse=True)
+    a, b = [np.arange(len(part))], [first[of]]
+    at = 0
+    while at < len(part):
+        apart = np.bitwise_count(tile.fp ^ tile.fp[at])
+        near = np.flatnonzero(apart <= radius)
+        near = near[apart[near] + np.bitwise_count(tile.more[near] ^ tile.more[at]) <= wide_radius]
+        open_rows[near] = False
+        open_rows[at] = False
+        a.append(np.full(len(near), at))
+        b.append(near)
+        left = open_rows[at:].argmax()
+        at = at + int(left) if open_rows[at + left] else len(part)
+    links = np.concatenate(a), np.concatenate(b)
+    component = np.arange(len(part))
+    moved, least = span(*links)
+    component[moved] = least
+    across = part[links[0]] != part[links[1]]
+    x, y = span(links[0][across], links[1][across]) if across.any() else (np.empty(0, int), np.empty(0, int))
+    return x, y, component
+
+
+def meetings(similarity: float, radius: int, wide_radius: int) -> Mapper:
+    """Over rows of rare_shingles sorted by tile and part: (near, a, b) of rows of different parts that meet in a tile.
+
+    near: links by fingerprints at most radius of 64 bits and wide_radius of 128 apart, a forest in large tiles. Not near:
+    pairs without such a link that may have the similarity. From the first shingle that a pair shares on, the shorter rest
+    of the two bounds what the pair shares; pairs that fall short at every shingle they meet at are none.
     """
     share = similarity / (1 + similarity)
 
-    def pairs(batches: Batches) -> Batches:
-        for table in runs(batches, "token"):
-            token, part = table["token"].to_numpy(), table["part"].to_numpy()
-            ids, n = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-            rest = n - table["place"].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-            mixed_parts = np.add.reduceat(np.concatenate([[0], np.diff(part) != 0]).astype(np.int64), cuts[:-1])
-            mixed_parts -= np.concatenate([[0], part[cuts[1:-1]] != part[cuts[1:-1] - 1]])
-            found = []
-            for r in np.flatnonzero(mixed_parts).tolist():
+    def meet(batches: Batches) -> Batches:
+        for table in runs(batches, "tile"):
+            tile, part, ids, n = (table[c].to_numpy() for c in ("tile", "part", "id", "n"))
+            rest, n = n - table["place"].to_numpy(), n.astype(np.int64)
+            prints = Tile(table["fp"].to_numpy().view(np.uint64), ids, table["more"].to_numpy().view(np.uint64))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]])
+            changes = np.add.reduceat(np.concatenate([[0], np.diff(part) != 0]).astype(np.int64), cuts[:-1])
+            changes -= np.concatenate([[0], part[cuts[1:-1]] != part[cuts[1:-1] - 1]])
+            sizes = np.diff(cuts)
+            near_pairs: list[tuple] = []
+            listed: list[tuple] = []
+            # small tiles together, by the distance of rows
+            rows = np.flatnonzero(np.repeat((changes > 0) & (sizes <= SMALL_TILE), sizes))
+            for step in range(1, SMALL_TILE):
+                i, j = rows[:-step], rows[step:]
+                same = tile[i] == tile[j]
+                if not same.any():
+                    break
+                same &= part[i] != part[j]
+                i, j = i[same], j[same]
+                may = np.minimum(rest[i], rest[j]) >= share * (n[i] + n[j]) - 1e-9
+                i, j = i[may], j[may]
+                apart = np.bitwise_count(prints.fp[i] ^ prints.fp[j])
+                near = (apart <= radius) & (apart + np.bitwise_count(prints.more[i] ^ prints.more[j]) <= wide_radius)
+                near_pairs.append((ids[i[near]], ids[j[near]]))
+                listed.append((ids[i[~near]], ids[j[~near]]))
+            for r in np.flatnonzero((changes > 0) & (sizes > SMALL_TILE)).tolist():
                 lo, hi = int(cuts[r]), int(cuts[r + 1])
-                for i in range(lo, hi - 1):
-                    j = slice(i + 1, hi)
-                    least = share * (n[i] + n[j]) - 1e-9
-                    hit = i + 1 + np.flatnonzero((part[j] != part[i]) & (np.minimum(rest[j], rest[i]) >= least))
-                    if len(hit):
-                        found.append((np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])))
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                x, y, component = forest(prints.part(lo, hi), part[lo:hi], radius, wide_radius)
+                near_pairs.append((ids[x + lo], ids[y + lo]))
+                values, counts = np.unique(component, return_counts=True)
+                if len(values) == 1:
+                    continue
+                largest = values[counts.argmax()]
+                for i in np.flatnonzero(component != largest).tolist():
+                    others = component != component[i]
+                    others[:i] &= component[:i] == largest  # pairs of rows outside the largest component once
+                    j = np.flatnonzero(others) + lo
+                    may = np.minimum(rest[j], rest[lo + i]) >= share * (n[j] + n[lo + i]) - 1e-9
+                    listed.append((np.full(int(may.sum()), ids[lo + i]), ids[j[may]]))
+            # over all tiles at hand: a forest of the near, and the listed pairs that it does not connect
+            if near_pairs:
+                a, b = (np.concatenate(c) for c in zip(*near_pairs))
+                a, b = span(a, b) if len(a) else (a, b)
+                x, y = (np.concatenate(c) for c in zip(*listed)) if listed else (a[:0], a[:0])
+                root = lambda v: np.where(a[np.minimum(np.searchsorted(a, v), len(a) - 1)] == v, b[np.minimum(np.searchsorted(a, v), len(a) - 1)], v)
+                if len(a) and len(x):
+                    open_pairs = root(x) != root(y)
+                    x, y = x[open_pairs], y[open_pairs]
+                x, y = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else (x, y)
+                near = np.concatenate([np.ones(len(a), bool), np.zeros(len(x), bool)])
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(np.concatenate([a, x])), pa.array(np.concatenate([b, y]))], ["near", "a", "b"])
+        release_memory()
+
+    return meet
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A set as bits, four or more for each of its members."""
+    size = 1 << max(6, (4 * len(hashes) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes & np.int64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def _sketches(hashes: pa.Array) -> pa.Array:
+    sets = [np.frombuffer(x.as_buffer(), np.int64) for x in hashes]
+    return pa.StructArray.from_arrays([pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], ["n", "bits"])
+
+
+def most_shared(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> int:
+    """No fewer than the members that two sets share, by their sketches.
+
+    Shared members stand on shared bits; more than one on a bit are among those that each set has beyond its bits.
+    """
+    while len(x) != len(y):  # a longer sketch folds into a shorter one
+        if len(x) < len(y):
+            x, y = y, x
+            nx, ny = ny, nx
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    on = [int(np.bitwise_count(z).sum()) for z in (x & y, x, y)]
+    return on[0] + min(nx - on[1], ny - on[2])
+
+
+def possible_pairs(similarity: float) -> Mapper:
+    """Over rows (a, b, nx, x, ny, y) with the sketches of a and b: the pairs that can have the similarity."""
 
-    return pairs
+    def possible(batches: Batches) -> Batches:
+        for batch in batches:
+            keep = []
+            for nx, x, ny, y in zip(*(batch.column(c) for c in ("nx", "x", "ny", "y"))):
+                nx, ny = nx.as_py(), ny.as_py()
+                shared = most_shared(np.frombuffer(x.as_buffer(), np.uint8), nx, np.frombuffer(y.as_buffer(), np.uint8), ny)
+                keep.append(shared >= similarity * (nx + ny - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
+
+    return possible
 
 
 def verify_pairs(similarity: float) -> Mapper:
@@ -405,23 +521,51 @@ def verify_pairs(similarity: float) -> Mapper:
     return verify
 
 
-def other_links(texts: DataFrame, rows: int, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of all texts (node, part, text) of different parts with Jaccard >= similarity, without fingerprints."""
+def rare_meetings(texts: DataFrame, rows: int, words: int, similarity: float, radius: int, wide_radius: int) -> DataFrame:
+    """(near, a, b), written: what meetings tells of texts (node, part, fp, more, text) over their rare shingles.
+
+    Texts of the similarity share a rare shingle, so they meet in its tile. A shingle of more than HOT_TILE rows is cut
+    into parts, and each pair of parts is a tile.
+    """
     some = texts.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(max(1, rows // ORDER_TEXTS))) == 0)
     seen = some.mapInArrow(sampled_shingles(words), "token bigint, part bigint").groupBy("token")
     often = seen.agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low < high")
     often = often.orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES)
     told = often.orderBy("token").toArrow()
     common, n = told["token"].to_numpy(), told["n"].to_numpy()
-    rare = texts.mapInArrow(rare_shingles(words, similarity, common, n), "token bigint, id bigint, part bigint, n int, place int")
-    dealt = rare.repartition("token").sortWithinPartitions("token", "part")
-    pairs = materialize(dealt.mapInArrow(meeting_pairs(similarity), EDGE_TYPE).distinct())
+    kinds = ["bigint"] * 5 + ["int"] * 2
+    rare = texts.select("node", "part", "fp", "more", "text").mapInArrow(rare_shingles(words, similarity, common, n), ", ".join(map(" ".join, zip(RARE_NAMES, kinds))))
+    rare = materialize(rare)
+    hot = materialize(rare.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT_TILE).select("token", F.ceil(F.col("c") / HOT_TILE).alias("m")))
+    dealt = rare.withColumn("tile", F.col("token"))
+    if not hot.isEmpty():
+        cut = join_checked(rare, hot, "token", "inner").withColumn("s", F.pmod(F.xxhash64("id", F.lit(7)), F.col("m")))
+        places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1), lambda t: F.xxhash64("token", F.least(t, "s"), F.greatest(t, "s")))
+        cut = cut.withColumn("tile", F.explode(places)).select(*rare.columns, "tile")
+        dealt = join_checked(dealt, hot, "token", "left_anti").unionByName(cut)
+    dealt = dealt.drop("token").repartition("tile").sortWithinPartitions("tile", "part")
+    found = materialize(dealt.mapInArrow(meetings(similarity, radius, wide_radius), "near boolean, a bigint, b bigint").distinct())
+    discard(rare, hot)
+    return found
+
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts (node, text) that have the similarity.
+
+    Sketches, an eighth of the sets or less, leave out most others first; they never leave out a pair that has it.
+    """
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    held = join_checked(texts, ends, "node", "inner").select(F.col("node").alias("rep"), F.col("part").alias("root"), F.lit(1).cast("bigint").alias("size"), "text")
+    held = join_checked(texts, ends, "node", "inner").select(F.col("node").alias("rep"), F.col("node").alias("root"), F.lit(1).cast("bigint").alias("size"), "text")
     sets = held.mapInArrow(shingle_sets(words), "rep bigint, root bigint, size bigint, hashes binary")
     sets = materialize(sets.select("rep", "hashes"))
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(verify_pairs(similarity), EDGE_TYPE))
+    marks = materialize(sets.select("rep", F.arrow_udf(_sketches, "struct<n:int,bits:binary>")("hashes").alias("s")).select("rep", "s.*"))
+    end = lambda e, n, x: marks.select(F.col("rep").alias(e), F.col("n").alias(n), F.col("bits").alias(x))
+    both = join_checked(join_checked(pairs, end("a", "nx", "x"), "a", "inner"), end("b", "ny", "y"), "b", "inner")
+    likely = materialize(both.select("a", "b", "nx", "x", "ny", "y").mapInArrow(possible_pairs(similarity), EDGE_TYPE))
+    both = likely.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
+    found = materialize(both.select("a", "b", "x", "y").mapInArrow(verify_pairs(similarity), EDGE_TYPE))
+    discard(ends, sets, marks, likely)
+    return found
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -452,7 +596,12 @@ def text_groups(
     least = F.min(F.struct((F.col("doc_id") == NO_ID).alias("none"), F.col("doc_id").alias("id"), "rows")).alias("first")
     texts = named.groupBy("fp", "more", "key").agg(least).select("fp", "more", "key", "first.id", "first.rows")
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()))
-    roots = materialize(components(fingerprint_links(texts.select("fp", F.col("node").alias("id"), "more"), radius, wide_radius)))
+    tight = materialize(fingerprint_links(texts.select("fp", F.col("node").alias("id")), min(radius, TIGHT_RADIUS)))
+    parts = materialize(components(tight))
+    places = texts.select("node", "fp", "more", "id", "key", "rows")
+    nodes = materialize(join_checked(places, parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
+    met = rare_meetings(texts_of(docs, nodes), nodes.count(), words, similarity, radius, wide_radius)
+    roots = materialize(components(tight.unionByName(met.where("near").select("a", "b"))))
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     places = texts.select("node", "id", "key", "rows")
     members = materialize(roots.join(sizes, "root").join(places, "node"))
@@ -469,10 +618,13 @@ def text_groups(
     dealt = sets.select("rep", "hashes", F.explode(pairs).alias("p")).select("p.tile", "p.side", "rep", "hashes")
     links = dealt.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(verify_tiles(similarity), EDGE_TYPE)
     links = materialize(links)
-    near = materialize(components(links))
-    nodes = materialize(join_checked(places, near, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
-    rest = other_links(texts_of(docs, nodes), nodes.count(), words, similarity)
+    # pairs that no component holds are verified one by one
+    at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    apart = join_checked(join_checked(met.where("not near").select("a", "b"), at("a"), "a", "left"), at("b"), "b", "left")
+    apart = materialize(apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    rest = verified_pairs(apart, texts_of(docs, places), words, similarity)
     groups = materialize(components(links.unionByName(rest)))
+    discard(sets, links, met, nodes, members)
     return prints, materialize(join_checked(texts, groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
 
@@ -486,11 +638,12 @@ def near_copies(
 ) -> DataFrame:
     """(doc_id, group_id): groups over texts whose sets of ``words``-word shingles have Jaccard >= similarity.
 
-    Candidates are fingerprints of 3-word shingles by tiled exact comparison: at most ``radius`` of 64 bits apart and at
-    most ``wide_radius`` of 128, which leaves chance no candidates even among billions of texts. Components of
-    candidates are then verified exactly, in tiles of bounded size where a component is large. Pairs whose fingerprints
-    are further apart are found by other_links between the groups so made, so none is missed. Texts that are equal count
-    once; a text without words groups with equal texts only.
+    Fingerprints of 3-word shingles are compared exactly, in tiles: first by sliced population counts for the closest,
+    then in a tile for each rare shingle, in one of which texts of the similarity must meet. There fingerprints at most
+    ``radius`` of 64 bits and ``wide_radius`` of 128 apart are linked, as a forest, and other pairs are listed if they can
+    have the similarity. Components of links are verified exactly, in tiles of bounded size where a component is large,
+    and listed pairs between components one by one, so none is missed and no step compares all with all. Texts that are
+    equal count once; a text without words groups with equal texts only.
     """
     docs = docs.where("doc_id is not null")
     prints, texts = text_groups(docs, words, similarity, radius, wide_radius, tile_rows)
@@ -512,9 +665,10 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     rows = prints.select(F.col("doc_id").alias("near_id"), F.col("key").alias("near_key")).distinct()
     gone = materialize(rows.join(stay, ["near_id", "near_key"], "left_anti"))
     again = stay.where("rows > 1").drop("rows")
-    told = docs.select("*", known_id().alias("near_id"), text_key().alias("near_key"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # whatever the columns are called
+    told = docs.select(row, known_id().alias("near_id"), text_key().alias("near_key"))
     left = join_checked(told, gone, ["near_id", "near_key"], "left_anti")
     if not again.isEmpty():
         more = join_checked(left, again, ["near_id", "near_key"], "left_semi").dropDuplicates(["near_id", "near_key"])
         left = join_checked(left, again, ["near_id", "near_key"], "left_anti").unionByName(more)
-    return left.select(docs.columns)
+    return left.select("row.*")
